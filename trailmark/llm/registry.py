@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, quality, simhash, warc
+from . import fingerprint, langid, quality, simhash, substrings, warc
 
 QUERIES = {
     "op2_warc_zstd": warc.op2_warc_zstd,
     "op3_language_id": langid.op3_language_id,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_quality_pu": quality.op6_quality_pu,
     "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
 }
-ORACLES = {"op2_warc_zstd": warc.OP2_SQL, "op7_document_fingerprints": fingerprint.OP7_SQL}
+ORACLES = {"op2_warc_zstd": warc.OP2_SQL, "op4_substring_dedup": substrings.OP4_SQL, "op7_document_fingerprints": fingerprint.OP7_SQL}
