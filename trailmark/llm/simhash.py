@@ -89,7 +89,7 @@ def links(classes: DataFrame, distance: int = DISTANCE, most: int = MOST) -> Dat
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
     # the half's number stands above its 32 bits
     keys = F.concat(F.transform(flips, lambda x: low.bitwiseXOR(x)), F.transform(flips, lambda x: high.bitwiseXOR(x) + F.lit(1 << 32)))
-    balls = classes.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+    balls = classes.select("fp", F.explode_outer(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of equal keys: edges of small ones, (fp, null) for each member of larger ones."""
@@ -153,7 +153,7 @@ def links(classes: DataFrame, distance: int = DISTANCE, most: int = MOST) -> Dat
     ball = F.array(F.lit(0).cast("long"), *one)
     # flips of two bits: i below j
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(63)), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.element_at(ball, i + 2).bitwiseXOR(F.element_at(ball, j + 2)))))
-    points = hot.select("fp", F.explode(F.concat(ball, pairs)).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
+    points = hot.select("fp", F.explode_outer(F.concat(ball, pairs)).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = points.join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     if distance != 4:
