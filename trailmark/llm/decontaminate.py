@@ -49,14 +49,15 @@ def template(word: Column) -> Column:
 def windows(table: DataFrame, key: str) -> DataFrame:
     """(key, pos, h, slots): a row per window; slots has its five marked words if one of them holds a placeholder."""
     t = table.select(key, marked(F.col("text")).alias("_m")).select(key, F.contains("_m", F.lit(MARK)).alias("_any"), words(F.col("_m")).alias("_w"))
-    t = t.where(F.size("_w") >= WINDOW).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(F.when(F.col("_any"), template(x)).otherwise(x))))
+    t = t.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(F.when(F.col("_any"), template(x)).otherwise(x))))
 
     def window(i: Column) -> Column:
         own = F.when(F.col("_any"), F.array_join(F.slice("_w", i, F.lit(WINDOW)), " "))
         return F.struct(i.alias("pos"), F.xxhash64(*[F.element_at("_h", i + j) for j in range(WINDOW)]).alias("h"), F.when(F.contains(own, F.lit(MARK)), own).alias("slots"))
 
-    rows = t.select(key, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), window).alias("_x"))
-    return rows.select(key, F.inline("_x"))
+    made = F.when(F.size("_w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), window))
+    # the outer form, as for the inner one Spark infers a filter that repeats all of the above for every element
+    return t.select(key, made.alias("_x")).select(key, F.inline_outer("_x")).where("h is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most_broadcast: int = 500_000) -> DataFrame:

@@ -85,8 +85,8 @@ d as (select conv_id, coalesce(min(i) filter (where c.text is distinct from r.te
 b as (select 'c' as side, * from c union all select 'r', * from r),
 h as (select b.*, common, '<|' || replace(role, '|>', '| >') || '|>' || chr(10) as head, replace(text, '<|', '< |') as body from b join d using (conv_id)),
 o as (select *, head || body || '<|end|>' || chr(10) as whole, i > common as after from h),
-q as (select *, sum(length(whole)) over (partition by side, conv_id, after order by i) - length(whole) as at from o),
-g as (select side, conv_id, after, string_agg(whole, '' order by i) as whole, string_agg(cast(at + length(head) as bigint) || '-' || cast(at + length(head) + length(body) as bigint), ',' order by i) filter (where role = 'assistant') as marks from q group by all)
+q as (select *, sum(length(whole)) over (partition by side, conv_id, after order by i) - length(whole) as pos from o),
+g as (select side, conv_id, after, string_agg(whole, '' order by i) as whole, string_agg(cast(pos + length(head) as bigint) || '-' || cast(pos + length(head) + length(body) as bigint), ',' order by i) filter (where role = 'assistant') as marks from q group by all)
 select n.conv_id as chosen_id, next_id as rejected_id, cast(common as bigint) as common_turns, coalesce(p.whole, '') as prompt, coalesce(x.whole, '') as chosen_completion, coalesce(y.whole, '') as rejected_completion,
  coalesce(x.marks, '') as chosen_spans, coalesce(y.marks, '') as rejected_spans, (x.whole is not null or y.whole is not null) as usable
 from n join d using (conv_id) left join g p on p.conv_id = n.conv_id and p.side = 'c' and not p.after
