@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, packing, preferences, quality, simhash, substrings, warc
+from . import decontaminate, fingerprint, katz, langid, packing, preferences, quality, simhash, substrings, warc
 
 QUERIES = {
+    "op1_katz": katz.op1_katz,
     "op2_warc_zstd": warc.op2_warc_zstd,
     "op3_language_id": langid.op3_language_id,
     "op4_substring_dedup": substrings.op4_substring_dedup,
