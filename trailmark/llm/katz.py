@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import column, fold, materialize, slices
 
 DISCOUNTED = 5
-BATCH_TOKENS = 4_000_000
-TABLE_BYTES = 8 << 20
+BATCH_TOKENS = 4_500_000
+TABLE_BYTES = 14 << 20
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 
@@ -41,22 +41,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def squeeze(a: np.ndarray, kind=None) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress((a if kind is None else a.astype(kind)).tobytes())
+    """The bytes of equal weight side by side, compressed; so numbers take about as many bits as they have."""
+    a = np.ascontiguousarray(a if kind is None else a.astype(kind))
+    planes = a.view(np.uint8).reshape(-1, a.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def squeeze_sorted(a: np.ndarray) -> bytes:
-    """Ascending hashes as differences, the bytes of equal weight side by side."""
-    d = np.diff(a, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Ascending hashes as differences."""
+    return squeeze(np.diff(a, prepend=np.uint64(0)))
 
 
 def opened(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def opened_sorted(data: bytes) -> np.ndarray:
-    raw = opened(data, np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(opened(data, np.uint64), dtype=np.uint64)
 
 
 def discounts(n: list[int], k: int = DISCOUNTED) -> np.ndarray:
@@ -121,22 +123,44 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int) -> Iterat
         part = base + made
         made += 1
         n = np.fromiter(map(len, hashes), np.int64, len(hashes)) + 1
-        w = np.concatenate([x for a in hashes for x in (a, [END])]).astype(np.uint64)
-        h = np.empty_like(w)
-        h[1:], first = w[:-1], np.cumsum(n) - n
-        h[first] = BEGIN
-        doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        # tokens as numbers of the batch's distinct hashes, the begin mark's among them
+        w = np.empty(int(n.sum()) + 1, np.uint64)
+        last = np.cumsum(n) - 1
+        w[-1] = BEGIN
+        w[last] = END
+        inner = np.ones(len(w) - 1, bool)
+        inner[last] = False
+        w[:-1][inner] = np.concatenate(hashes)
+        hashes = []
+        distinct, number = np.unique(w, return_inverse=True)
+        del w, inner
+        key = np.empty(len(number) - 1, np.uint64)
+        key[1:] = number[:-2]
+        key[0] = key[last[:-1] + 1] = number[-1]
+        key = key << np.uint64(32) | number[:-1].astype(np.uint64)
+        del number
         train = np.fromiter((fold(i, modulus) != 0 for i in ids), bool, len(ids))
-        table = (mix(mix(h) + w) % np.uint64(tables)).astype(np.uint32)
-        order, starts = _group(doc, w, h, table)
-        table, h, w, doc = table[order], h[order], w[order], doc[order]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)[order]
+        del order
         # entries: a pair in a document
-        tf = np.diff(np.append(starts, len(order)))
-        table, h, w, doc = table[starts], h[starts], w[starts], doc[starts]
-        pair = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (table[1:] != table[:-1]))))
-        entries = np.diff(np.append(pair, len(h)))
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+        tf = np.diff(np.append(starts, len(key)))
+        key, doc = key[starts], doc[starts]
+        pair = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         c = np.add.reduceat(np.where(train[doc], tf, 0), pair)
-        pt, ph, pw = table[pair], h[pair], w[pair]
+        key = key[pair]
+        ph, pw = distinct[key >> np.uint64(32)], distinct[key & np.uint64(0xFFFFFFFF)]
+        pt = (mix(mix(ph) + pw) % np.uint64(tables)).astype(np.int64)
+        # pairs by table; within one still by history, then word, as hashes ascend with their numbers
+        to = np.argsort(pt, kind="stable")
+        entries = np.diff(np.append(pair, len(doc)))[to]
+        own = np.repeat(pair[to] - (np.cumsum(entries) - entries), entries) + np.arange(len(doc))
+        doc, tf = doc[own], tf[own]
+        first = np.append(0, np.cumsum(entries))
+        pt, ph, pw, c = pt[to], ph[to], pw[to], c[to]
+        del own, to, key, pair
         cut = np.append(np.flatnonzero(np.concatenate(([True], pt[1:] != pt[:-1]))), len(pt)).tolist()
         rows = {k: [] for k in SENT.names}
 
@@ -150,9 +174,9 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int) -> Iterat
             hh = ph[x:y]
             hs = np.flatnonzero(np.concatenate(([True], hh[1:] != hh[:-1])))
             ws, wi = np.unique(pw[x:y], return_inverse=True)
-            e, f = pair[x], pair[y] if y < len(pair) else len(h)
+            e, f = first[x], first[y]
             put(int(pt[x]), None, squeeze_sorted(hh[hs]), squeeze(np.diff(np.append(hs, len(hh))), np.uint32), squeeze_sorted(ws), squeeze(wi, np.uint32), squeeze(c[x:y], np.uint32), squeeze(entries[x:y], np.uint32), squeeze(doc[e:f]), squeeze(tf[e:f], np.uint32))
-        ids, hashes, held = [], [], 0
+        ids, held = [], 0
         return pa.RecordBatch.from_pydict(rows, schema=SENT)
 
     for batch in slices(batches):
@@ -176,18 +200,18 @@ def merge(batch: pa.Table) -> pa.Table:
     if rows[0]["table"] == -1:
         out = [{"table": -1, "part": r["part"], "ids": r["ids"], "n": r["en"]} for r in rows]
         return pa.Table.from_pydict({k: [r.get(k) for r in out] for k in KEPT.names}, schema=KEPT)
-    h, w, c, parts, ep, ed, et, pairs, docs = [], [], [], [], [], [], [], 0, 0
+    h, w, c, parts, ep, ed, et, pairs = [], [], [], [], [], [], [], 0
     for r in rows:
         h.append(np.repeat(opened_sorted(r["h"]), opened(r["hn"], np.uint32)))
         w.append(opened_sorted(r["w"])[opened(r["wi"], np.uint32)])
         c.append(opened(r["c"], np.uint32).astype(np.int64))
         ep.append(np.repeat(np.arange(pairs, pairs + len(h[-1]), dtype=np.uint32), opened(r["en"], np.uint32)))
         own = opened(r["ed"], np.uint32)
-        ed.append(own + np.uint32(docs))
+        ed.append(own)
         et.append(opened(r["et"], np.uint32))
         top = int(own.max()) + 1
-        parts.append((r["part"], docs, top))
-        pairs, docs = pairs + len(h[-1]), docs + top
+        parts.append((r["part"], top, len(own)))
+        pairs += len(h[-1])
         r.clear()
     h, w, c, ep, ed, et = map(np.concatenate, (h, w, c, ep, ed, et))
     order, starts = _group(w, h)
@@ -198,7 +222,7 @@ def merge(batch: pa.Table) -> pa.Table:
     hs, hi = np.unique(h, return_inverse=True)
     ws, wi = np.unique(w, return_inverse=True)
     wc = np.bincount(wi, weights=c, minlength=len(ws))
-    row = {"table": rows and batch["table"][0].as_py(), "nn": counts_of_counts(c), "h": squeeze_sorted(hs), "hi": squeeze(np.diff(hi, prepend=0), np.uint32), "w": squeeze_sorted(ws), "wi": squeeze(wi, np.uint32), "wc": squeeze(wc, np.int64), "c": squeeze(c, np.uint32), "ep": squeeze(number[ep]), "ed": squeeze(np.diff(ed.astype(np.int64), prepend=0), np.int32), "et": squeeze(et), "parts": squeeze(np.array(parts, np.int64))}
+    row = {"table": rows and batch["table"][0].as_py(), "nn": counts_of_counts(c), "h": squeeze_sorted(hs), "hi": squeeze(np.diff(hi, prepend=0), np.uint32), "w": squeeze_sorted(ws), "wi": squeeze(wi, np.uint32), "wc": squeeze(wc, np.int64), "c": squeeze(c, np.uint32), "ep": squeeze(np.diff(number[ep].astype(np.int64), prepend=0), np.int32), "ed": squeeze(ed), "et": squeeze(et), "parts": squeeze(np.array(parts, np.int64))}
     return pa.Table.from_pydict({k: [row.get(k)] for k in KEPT.names}, schema=KEPT)
 
 
@@ -297,11 +321,12 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
         over = np.where(mass < ch * (1 - 1e-12), ch, ch + 1)
         alpha = np.where(ch > 0, (1 - mass / over) / np.maximum(1 - seen, 1e-300), 1.0)
         p = np.where(c > 0, discounted(c, d2) / over[hi], alpha[hi] * model.p(cw)[wi])
-        ep, ed, et = opened(r["ep"], np.uint32), np.cumsum(opened(r["ed"], np.int32), dtype=np.int64), opened(r["et"], np.uint32)
+        ep, et = np.cumsum(opened(r["ep"], np.int32), dtype=np.int64), opened(r["et"], np.uint32)
         parts = opened(r["parts"], np.int64).reshape(-1, 3)
-        size = int(parts[-1, 1] + parts[-1, 2])
+        begin = np.cumsum(parts[:, 1]) - parts[:, 1]
+        ed, size = opened(r["ed"], np.uint32) + np.repeat(begin, parts[:, 2]), int(parts[:, 1].sum())
         columns = [np.bincount(ed, weights=et * x[ep], minlength=size) for x in ((cw > 0)[wi], model.base(cw)[wi], np.log10(p))]
-        out = [(part, 0, squeeze(columns[0][a : a + k], np.int32), squeeze(columns[1][a : a + k]), squeeze(columns[2][a : a + k]), None, None) for part, a, k in parts.tolist()]
+        out = [(part, 0, squeeze(columns[0][a : a + k], np.int32), squeeze(columns[1][a : a + k]), squeeze(columns[2][a : a + k]), None, None) for (part, k, _), a in zip(parts.tolist(), begin.tolist())]
         return pa.Table.from_pydict({k: [x[i] for x in out] for i, k in enumerate(SUMS.names)}, schema=SUMS)
 
     told = words.unionByName(histories).select("table", "by", "kind", "value")
