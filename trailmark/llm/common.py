@@ -6,6 +6,7 @@ import gc
 import json
 import math
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = (1 << 63) - 1
 
 _scratch: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,26 +32,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "file://" + tempfile.mkdtemp(prefix="corpus-")
 
 
-def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _scratch.append(path)
     free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """Like materialize(), but as a table bucketed by key: later groupings by key don't shuffle it again."""
+    spark = df.sparkSession
+    name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _scratch.append(path)
+    _tables.append(name)
+    free_shuffles(spark)
+    return spark.table(name)
+
+
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; else they stay until the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs now; else they stay until the driver's next full collection.
+
+    The first collection queues the shuffles for Spark's cleaner, which runs on its own thread.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that materialize() wrote; for callers that have stored what they derived from them."""
     jvm = spark.sparkContext._jvm
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     while _scratch:
         path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fold, materialize, slices
+from .common import column, fold, materialize, materialize_bucketed, slices
 
 DISCOUNTED = 5
 BATCH_TOKENS = 4_500_000
@@ -284,7 +284,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = rows.mapInArrow(lambda batches: send(batches, tables, modulus), ddl(SENT))
     alone = F.when(F.col("table") == -1, F.col("part")).otherwise(0)
-    kept = materialize(sent.groupBy("table", alone.alias("_")).applyInArrow(lambda t: merge(t), ddl(KEPT)), "katz-pairs")
+    kept = materialize_bucketed(sent.groupBy("table", alone.alias("_")).applyInArrow(lambda t: merge(t), ddl(KEPT)), "katz-pairs", "table", tables)
     pairs = kept.where("table >= 0")
     nn = pairs.select([F.sum(F.element_at("nn", i + 1)).alias(f"n{i}") for i in range(DISCOUNTED + 2)]).first()
     d2 = discounts([x or 0 for x in nn])
