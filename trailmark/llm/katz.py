@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import column, fold, materialize, materialize_bucketed, slices
 
 DISCOUNTED = 5
-BATCH_TOKENS = 4_500_000
-TABLE_BYTES = 14 << 20
+BATCH_TOKENS = 2_300_000
+TABLE_BYTES = 12 << 20
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 
