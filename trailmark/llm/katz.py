@@ -7,7 +7,8 @@ history whose counts leave no mass is divided by one count more.  A history neve
 
 Counting and scoring share one pass over the texts.  Batches of documents reduce their tokens to distinct pairs, with
 counts over training documents and, for each pair, the documents that hold it; pairs go to tables partitioned by a
-hash of the whole pair, so a frequent history is spread over all of them, and a frequent pair arrives once a batch.
+hash of the history and of a salt from the word, so a frequent history is split, and a frequent pair arrives once a
+batch.
 Each table keeps its pairs and asks two further rounds of tables, partitioned by word and by history, for c(w) and for
 c(h), mass and alpha; these rounds too send a word or history once per table.  Then tables sum the log probabilities of
 their pairs by document.  Words are known by 64-bit hashes.
@@ -32,6 +33,8 @@ from .common import column, fold, materialize, materialize_bucketed, slices
 DISCOUNTED = 5
 BATCH_TOKENS = 2_300_000
 TABLE_BYTES = 12 << 20
+#: Over so many tables the pairs of one history are spread, by their words.
+SPREAD = 8
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 
@@ -152,7 +155,7 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int) -> Iterat
         c = np.add.reduceat(np.where(train[doc], tf, 0), pair)
         key = key[pair]
         ph, pw = distinct[key >> np.uint64(32)], distinct[key & np.uint64(0xFFFFFFFF)]
-        pt = (mix(mix(ph) + pw) % np.uint64(tables)).astype(np.int64)
+        pt = (mix(mix(ph) + mix(pw) % np.uint64(SPREAD)) % np.uint64(tables)).astype(np.int64)
         # pairs by table; within one still by history, then word, as hashes ascend with their numbers
         to = np.argsort(pt, kind="stable")
         entries = np.diff(np.append(pair, len(doc)))[to]
