@@ -33,6 +33,9 @@ SYMBOLIC_CUES = {
 CONTRACT_WEIGHTS = {"risk": (["terminate", "damages", "indemnify", "breach", "penalty"], 0.9, 0.3), "importance": (["shall", "must", "liable", "exclusive"], 0.8, 0.4), "novelty": (["except", "unless", "notwithstanding"], 0.85, 0.25)}
 RUNBOOK_WEIGHTS = {"risk": (["severity", "incident", "outage", "rollback", "page", "degrade"], 0.9, 0.35), "importance": (["must", "immediately", "within", "verify", "required"], 0.85, 0.45), "novelty": (["unless", "except", "manual approval"], 0.8, 0.2)}
 
+#: Words that are no terms, compared after stemming.
+STOP = "the a an and or if when after once then must should does not within for with into from that this what which where".split()
+
 
 def stem(token: Column) -> Column:
     """Drop the first suffix that fits: ing of over 5 letters, ed or es of over 4, s of over 3."""

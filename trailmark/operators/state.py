@@ -26,12 +26,22 @@ def decay(s: Column, steps: float = 1.0) -> Column:
     return _state(state, s["count"], stability, decayed)
 
 
-def fold(log: DataFrame, node: str, order: str, touched: str) -> DataFrame:
+def policy_reinforce(s: Column) -> Column:
+    """A dynamic policy's touch: its own step up of the decay factor, then the lifecycle's."""
+    return reinforce(_state(s["state"], s["count"], s["stability"], F.least(F.lit(1.0), s["decay"] + 0.02)))
+
+
+def policy_decay(s: Column) -> Column:
+    """A dynamic policy's decay: by a twentieth but not under a half, then the lifecycle's."""
+    return decay(_state(s["state"], s["count"], s["stability"], F.greatest(F.lit(0.5), s["decay"] * 0.95)))
+
+
+def fold(log: DataFrame, node: str, order: str, touched: str, touch=reinforce, rest=decay) -> DataFrame:
     """The last state of each node, from a log with a row per node and query.
 
     The log of a node is folded in order, so this gathers a node's own log; nothing else meets in a task.
     """
     steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(touched).alias("t"))))
     rows = log.groupBy(node).agg(steps.alias("_log"))
-    last = F.aggregate("_log", start(), lambda s, x: F.when(x["t"], reinforce(s)).otherwise(decay(s)))
+    last = F.aggregate("_log", start(), lambda s, x: F.when(x["t"], touch(s)).otherwise(rest(s)))
     return rows.select(node, last.alias("_s")).select(node, "_s.*")
