@@ -24,10 +24,14 @@ e as (select doc_id, unnest(generate_series(cast(1 as bigint), n - 1)) as src fr
 select *, 'next_unit' as edge_type, 0.85::double as weight, true as bidirectional from u"""
 
 
+# without its first word, which is a cue that would come before all others
+_PLAIN, _PLAIN_SQL = _CLAUSE.replace("'If the '", "'The '"), _CLAUSE_SQL.replace("'If the '", "'The '")
+
+
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clause for each priority and status of orders, numbered by their names; a table bounded by the number of kinds."""
     o = _read(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.min("o_orderkey").alias("o_orderkey"))
-    n = o.select(F.concat_ws(":", "o_orderpriority", "o_orderstatus").alias("node_id"), F.expr(_CLAUSE).alias("content")).withColumn("ord", F.col("node_id"))
+    n = o.select(F.concat_ws(":", "o_orderpriority", "o_orderstatus").alias("node_id"), F.expr(_PLAIN).alias("content")).withColumn("ord", F.col("node_id"))
     return n.withColumn("role", text.semantic_role(F.col("content"), F.lit("clause")))
 
 
@@ -36,7 +40,7 @@ def semantic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RULE = "case " + " ".join(f"when {_like('low', cues)} then '{kind}'" for kind, cues, _ in sectioned.PACKS["contract"][2]) + " end"
-_EDGES = f"""o as (select o_orderpriority, o_orderstatus, min(o_orderkey) as o_orderkey from orders group by all), c as (select o_orderpriority || ':' || o_orderstatus as id, {_CLAUSE_SQL} as text from o),
+_EDGES = f"""o as (select o_orderpriority, o_orderstatus, min(o_orderkey) as o_orderkey from orders group by all), c as (select o_orderpriority || ':' || o_orderstatus as id, {_PLAIN_SQL} as text from o),
 p as (select id, lower(text) as low, {_TOKENS} as t from c), b as (select *, {_RULE} as edge_type, {_ROLE} as role from p),
 e as (select l.id as src, r.id as dst, l.edge_type, 0.7::double as weight, l.edge_type = 'exception_to' as bidirectional, l.role as src_role, r.role as dst_role from b l join b r on r.id < l.id and l.edge_type is not null and len(list_intersect(l.t, r.t)) >= 2)"""
 SEMANTIC_EDGES = f"with {_EDGES} select src, dst, edge_type, weight, bidirectional from e"
