@@ -24,10 +24,15 @@ LEAF = "(?:[^ \\t\\r\\n]+[ \\t]*){1,4}"
 def _parts(text: Column) -> dict[str, Column]:
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     paragraphs = F.transform(lines, lambda x: F.substring(F.md5(x.cast("binary")), 1, 16))
-    starts = F.sequence(F.lit(1), F.size(lines), F.lit(PARAGRAPHS))
-    sections = F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(paragraphs, i, F.lit(PARAGRAPHS)), ",").cast("binary")), 1, 16))
+
+    def of(bound: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(bound), F.lit(PARAGRAPHS))
+        return F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(bound, i, F.lit(PARAGRAPHS)), ",").cast("binary")), 1, 16))
+
+    # the paragraphs as a lambda's variable: named inside the inner lambda, they would be digested anew for each section
+    sections = F.transform(F.array(paragraphs), of)[0]
     leaves = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LEAF), F.lit(0)), lambda x: F.substring(F.md5(F.rtrim(x).cast("binary")), 1, 8))
-    return {"root": F.md5(F.array_join(sections, ",").cast("binary")), "sections": sections, "paragraphs": paragraphs, "leaves": F.slice(F.array_sort(F.array_distinct(leaves)), 1, KEPT)}
+    return {"root": F.md5(F.array_join(sections, ",").cast("binary")), "sections": sections, "paragraphs": paragraphs, "leaves": F.slice(F.sort_array(F.array_distinct(leaves)), 1, KEPT)}
 
 
 def fingerprint(text: Column) -> Column:
@@ -39,7 +44,7 @@ def fingerprint(text: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints: 1 if equal, else the share of common leaves among the 64 smallest of both."""
     leaves = lambda x: F.regexp_extract_all(F.substring(x, 34, 8 * KEPT), F.lit("[0-9a-f]{8}"), F.lit(0))
-    both = F.slice(F.array_sort(F.array_union(leaves(a), leaves(b))), 1, KEPT)
+    both = F.slice(F.sort_array(F.array_union(leaves(a), leaves(b))), 1, KEPT)
     common = F.size(F.array_intersect(F.array_intersect(leaves(a), leaves(b)), both))
     return F.when(a == b, F.lit(1.0)).when(F.size(both) == 0, F.lit(0.0)).otherwise(common / F.size(both))
 
