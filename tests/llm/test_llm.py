@@ -120,6 +120,24 @@ def test_language_ids(spark, empty):
     assert langid.identify(d, nothing, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_unlearned_languages_are_rejected(spark):
+    parts = {"aa": "the and ing er on at is".split(), "bb": "der und ung sch ein ich en".split(), "cc": "que los ado ente cio por la".split()}
+    rng = random.Random(4)
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    learned = [(i, text(lang, rng.choice([2, 8, 40, 200])), lang) for i, lang in enumerate(["aa", "bb"] * 100)]
+    stray = [(900, text("cc", 200), "aa")]
+    new = [(1000 + i, text(lang, 40), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    schema = "doc_id long, text string, lang string"
+    model = langid.fit(spark.createDataFrame(learned + stray, schema))
+    got = langid.identify(spark.createDataFrame(new + learned, schema), model, ["doc_id", "lang"]).collect()
+    assert sum(r["rejected"] for r in got if r["lang"] == "cc") >= 39
+    known = [r for r in got if r["lang"] != "cc"]
+    assert sum(r["rejected"] for r in known) <= 3 and sum(r["lang_pred"] != r["lang"] for r in known) <= 3
+
+
 def brute_windows(table):
     first = {}
     for i, t in table:
