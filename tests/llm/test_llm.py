@@ -213,6 +213,20 @@ def test_simhash_documents(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark, empty):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)) for _ in range(5))
+    made = [(5, a, "p"), (5, a, "q"), (9, a, "p"), (None, b, "p"), (None, b, "p"), (None, c, "p"), (7, c, "p"), (7, d, "p"), (3, d, "p"), (2, e, "p"), (2, e.upper(), "p"), (1, None, "p"), (None, "", "p")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in made], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r["doc_id"], (r["text"] or "").lower(), r["source"]) for r in got.collect()), key=str)
+    assert got == sorted([(5, a, "p"), (None, b, "p"), (7, c, "p"), (3, d, "p"), (2, e, "p"), (1, "", "p")], key=str)
+    assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_quality(spark, empty):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(40)) + "."
