@@ -227,6 +227,23 @@ def test_near_dedup_stage_keeps_one_row_of_each_group(spark, empty):
     assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_dedup_stage_finds_copies_of_similarity_08(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    made = []
+    for g in range(60):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(104)]
+        near, far = list(w), list(w)
+        near[50] = near[20] = "x"  # 90 of 110 shingles
+        for at in range(5, 100, 10):
+            far[at] = "y"
+        made += [(10 * g, " ".join(w)), (10 * g + 1, " ".join(near)), (10 * g + 2, " ".join(far))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    assert got == {i for i, _ in made if i % 10 != 1}
+
+
 def test_quality(spark, empty):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(40)) + "."

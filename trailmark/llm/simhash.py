@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, column, materialize, slices, words_of
@@ -32,31 +32,41 @@ DISTANCE = 4
 MOST = 4096
 
 
-def fingerprint_of(text: str | None) -> int:
+def shingles_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of lower-cased words, in order; one shingle for texts of fewer words, none for empty ones."""
     words = words_of(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = memoryview(b" ".join(words).lower())
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     starts = np.concatenate(([0], end[: len(words) - k] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts, end[k - 1 :].tolist())), np.uint64, len(starts))
+    return np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts, end[k - 1 :].tolist())), np.uint64, len(starts))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """(doc_id, fp) and keep's columns, longs too: fp is the fingerprint's 64 bits as a long."""
+def fingerprint_of(text: str | None) -> int:
+    return bits_of(shingles_of(text))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a long."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = np.array([fingerprint_of(t) for t in column(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "fp": pa.array(values)} | {c: batch.column(batch.schema.get_field_index(c)) for c in keep})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "fp": pa.array(values)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(made, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, fp long")
 
 
 def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,31 +197,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _rooted(classes: DataFrame, distance: int, most: int) -> DataFrame:
-    """classes, distinct in fp, and root: the same for all that links reach."""
-    roots = components(links(classes.select("fp"), distance, most))
-    return classes.join(roots, F.col("fp") == F.col("node"), "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
-
-
-def one_of_each(docs: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
-    """One row of each component, with docs' columns: the smallest by id (null ids last), digest of the text and the other columns."""
-    key = ["_null", "_id", "_digest"]
-    keyed = docs.withColumns({"_null": F.col("doc_id").isNull().cast("long"), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_digest": F.xxhash64("text")})
-    # only the smallest row of a fingerprint can be its component's
-    classes = fingerprints(keyed, key).groupBy("fp").agg(F.min(F.struct(*key)).alias("first"))
-    joined = _rooted(materialize(classes, "simhash"), distance, most)
-    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    rows = keyed.join(kept.hint("shuffle_hash"), key, "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    again = Window.partitionBy(*key).orderBy(*rest, F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns)
-
-
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint in hexadecimal, and component_id, the smallest doc_id that links reach."""
     prints = materialize(fingerprints(docs), "simhash")
     classes = prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
-    joined = _rooted(classes, distance, most)
+    roots = components(links(classes.select("fp"), distance, most))
+    joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
     named = materialize(joined.join(smallest, "root").select("fp", "component"), "simhash-classes")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
