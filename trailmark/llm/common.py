@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import contextvars
 import json
 import math
 import tempfile
-import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,23 +22,62 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Null ids sort after every other one.
 NO_ID = (1 << 63) - 1
 
-_scratch: list[str] = []
-_tables: list[str] = []
+#: The list that notes folders and tables; none: their readers may come at any time, so they stay.
+_made: contextvars.ContextVar[list | None] = contextvars.ContextVar("made", default=None)
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a folder of this machine only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where none is set, a folder of this machine, in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return found or "file://" + tempfile.mkdtemp(prefix="corpus-")
 
 
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run to their end inside leave no shuffle files: their results are stored, so nobody reads those again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+@contextlib.contextmanager
+def noting() -> Iterator[list[tuple[str, str | None]]]:
+    """The (folder, table) pairs that materialize() writes inside, for callers that drop() them when they have stored what they derived."""
+    made: list[tuple[str, str | None]] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
+def drop(spark: SparkSession, path: str, table: str | None = None) -> None:
+    if table:
+        spark.sql(f"drop table if exists {table}")
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+
+
+def _note(path: str, table: str | None = None) -> None:
+    made = _made.get()
+    if made is not None:
+        made.append((path, table))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _scratch.append(path)
-    free_shuffles(spark)
+    with freeing_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _note(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,32 +86,28 @@ def materialize_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> Dat
     spark = df.sparkSession
     name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
-    _scratch.append(path)
-    _tables.append(name)
-    free_shuffles(spark)
+    with freeing_shuffles(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _note(path, name)
     return spark.table(name)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; else they stay until the driver's next full collection.
+#: Keys that hold over one row in so many are joined apart; so there are at most so many of them.
+HOT = 1000
+
+
+def join_spread(rows: DataFrame, names: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined by key with names, one row per key with ``n``, how many of the total rows have it; n is dropped.
 
-    The first collection queues the shuffles for Spark's cleaner, which runs on its own thread.
+    Keys of over total / HOT rows, at most HOT of them, are broadcast, so their rows stay where they are; the others
+    meet by shuffle, and none of those keys holds over a thousandth of the rows.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that materialize() wrote; for callers that have stored what they derived from them."""
-    jvm = spark.sparkContext._jvm
-    while _tables:
-        spark.sql(f"drop table if exists {_tables.pop()}")
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    hot = F.col("n") > max(1, total // HOT)
+    value = [c for c in names.columns if c not in (key, "n")]
+    few = names.where(hot).select(key, F.struct(*value).alias("_v"))
+    met = rows.join(F.broadcast(few), key, "left")
+    cold = met.where("_v is null").drop("_v").join(names.where(~hot).drop("n"), key)
+    return met.where("_v is not null").select(*rows.columns, "_v.*").unionByName(cold.select(*rows.columns, *value))
 
 
 def words_of(text: str | None) -> list[bytes]:

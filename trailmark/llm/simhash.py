@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, column, materialize, slices, words_of
+from .common import NO_ID, column, join_spread, materialize, slices, words_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -200,12 +200,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint in hexadecimal, and component_id, the smallest doc_id that links reach."""
     prints = materialize(fingerprints(docs), "simhash")
-    classes = prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
+    classes = materialize(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     roots = components(links(classes.select("fp"), distance, most))
-    joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
-    named = materialize(joined.join(smallest, "root").select("fp", "component"), "simhash-classes")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+    joined = materialize(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    smallest = materialize(joined.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n")), "simhash-smallest")
+    sizes = joined.agg(F.count(F.lit(1)).alias("classes"), F.sum("rows").alias("rows")).first()
+    named = materialize(join_spread(joined, smallest, "root", sizes["classes"]).select("fp", "component", F.col("rows").alias("n")), "simhash-named")
+    return join_spread(prints, named, "fp", sizes["rows"] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
