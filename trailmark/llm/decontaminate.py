@@ -2,14 +2,16 @@
 
 Texts are brought to templates: numbers, names (capitalised words inside a sentence) and units after a number become
 typed placeholders, case and punctuation go.  Windows of five template words of the benchmark are joined by hash with
-those of all documents.  Matches on one alignment (document position less item position) are one copy of the item; its
-slots must be consistent: wherever the item repeats a value, the copy repeats its own.  A document leaks an item if
-consistent copies cover 0.8 or more of the item's distinct window positions; ``reparameterised`` tells whether some
-slot differs.  Verbatim copies are those without such a slot.
+those of all documents; a window with a name has a second hash with its names as plain words, so a copy in another
+case is found as well.  Matches on one alignment (document position less item position) are one copy of the item.  Its
+slots must be consistent: wherever the item repeats a value, the copy repeats its own; of a copy that isn't, only the
+windows that are equal word for word count.  A document leaks an item if its copies cover 0.8 or more of the item's
+distinct window positions; ``reparameterised`` tells whether a slot of a consistent copy differs.
 
 The benchmark's windows are broadcast only if they number at most ``most_broadcast``; else Spark joins both sides by
-shuffle.  Null texts have no windows; items of under five words have none and never match.  Rows that repeat a doc_id
-are judged together, rows with a null doc_id aren't judged; repeated items are items.  Extra columns are not read.
+shuffle.  Null texts have no windows; items of under five words have none and never match.  Each row is judged by
+itself, also those that share a doc_id or have none; a doc_id's row with the most matches speaks for it.  Repeated items
+are items; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -47,34 +49,59 @@ def template(word: Column) -> Column:
 
 
 def windows(table: DataFrame, key: str) -> DataFrame:
-    """(key, pos, h, slots): a row per window; slots has its five marked words if one of them holds a placeholder."""
-    t = table.select(key, marked(F.col("text")).alias("_m")).select(key, F.contains("_m", F.lit(MARK)).alias("_any"), words(F.col("_m")).alias("_w"))
-    t = t.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(F.when(F.col("_any"), template(x)).otherwise(x))))
+    """(key, row, pos, h, slots, named): rows of a window; slots has its five marked words if one of them holds a placeholder.
+
+    row is a hash of the text.  A window with names has two rows: with a placeholder for each name, and (named) with
+    the names as plain words, in slots too.
+    """
+    t = table.select(key, F.xxhash64("text").alias("row"), marked(F.col("text")).alias("_m"))
+    t = t.select(key, "row", F.contains("_m", F.lit(MARK)).alias("_any"), F.contains("_m", F.lit(f"{MARK}m")).alias("_names"), words(F.col("_m")).alias("_w"))
+    # kept as hashes of words: those of plain names only where there are names
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(F.when(F.col("_any"), template(x)).otherwise(x)))
+    t = t.withColumn("_h", hashed(F.col("_w"))).withColumn("_p", F.when(F.col("_names"), F.transform("_w", lambda x: F.replace(x, F.lit(f"{MARK}m"), F.lit("")))))
+    t = t.withColumn("_g", F.when(F.col("_names"), hashed(F.col("_p"))))
 
     def window(i: Column) -> Column:
         own = F.when(F.col("_any"), F.array_join(F.slice("_w", i, F.lit(WINDOW)), " "))
-        return F.struct(i.alias("pos"), F.xxhash64(*[F.element_at("_h", i + j) for j in range(WINDOW)]).alias("h"), F.when(F.contains(own, F.lit(MARK)), own).alias("slots"))
-
-    made = F.when(F.size("_w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), window))
+        plain = F.array_join(F.slice("_p", i, F.lit(WINDOW)), " ")
+        over = lambda h: F.xxhash64(*[F.element_at(h, i + j) for j in range(WINDOW)])
+        slots = lambda x: F.when(F.contains(x, F.lit(MARK)), x)
+        first = F.struct(i.alias("pos"), over("_h").alias("h"), slots(own).alias("slots"), F.lit(False).alias("named"))
+        second = F.struct(i.alias("pos"), over("_g").alias("h"), slots(plain).alias("slots"), F.lit(True).alias("named"))
+        return F.when(F.col("_names") & F.contains(own, F.lit(f"{MARK}m")), F.array(first, second)).otherwise(F.array(first))
+
+    made = F.when(F.size("_w") >= WINDOW, F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), window)))
     # the outer form, as for the inner one Spark infers a filter that repeats all of the above for every element
-    return t.select(key, made.alias("_x")).select(key, F.inline_outer("_x")).where("h is not null")
+    return t.select(key, "row", made.alias("_x")).select(key, "row", F.inline_outer("_x")).where("h is not null")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most_broadcast: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, matched, windows, coverage, reparameterised): one row per document and item that it leaks."""
-    items = windows(benchmark.where("item_id is not null"), "item_id").toDF("item_id", "ipos", "h", "islots")
+def leaking_rows(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most_broadcast: int = 500_000) -> DataFrame:
+    """leaks() for each text: (doc_id, row, item_id, matched, windows, reparameterised), row being xxhash64(text)."""
+    items = windows(benchmark.where("item_id is not null"), "item_id").toDF("item_id", "irow", "ipos", "h", "islots", "inamed")
     sizes = items.groupBy("item_id").agg(F.countDistinct("ipos").alias("windows"))
     small = benchmark.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     hint = F.broadcast if small <= most_broadcast else lambda x: x
-    found = windows(docs.where("doc_id is not null"), "doc_id").join(hint(items), "h")
+    found = windows(docs, "doc_id").join(hint(items), "h")
+    # a pair for each word in which one side has a placeholder; plain names against plain words agree as they are
     pairs = F.filter(F.arrays_zip(F.split("islots", " ").alias("a"), F.split("slots", " ").alias("b")), lambda p: F.contains(p["a"], F.lit(MARK)))
-    found = found.select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.when(F.col("islots").isNotNull(), pairs).alias("pairs"))
-    copies = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    same = F.col("islots").eqNullSafe(F.col("slots"))
+    found = found.select("doc_id", "row", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.when(F.col("islots").isNotNull(), pairs).alias("pairs"), F.when(same, F.col("ipos")).alias("verbatim"))
+    copies = found.groupBy("doc_id", "row", "item_id", "shift").agg(F.collect_set("ipos").alias("at"), F.collect_set("verbatim").alias("verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    copies = copies.where(consistent).withColumn("other", F.exists("pairs", lambda p: p["a"] != p["b"]))
-    judged = copies.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max("other").alias("reparameterised"))
-    judged = judged.join(hint(sizes), "item_id")
-    return judged.where(F.col("matched") >= coverage * F.col("windows")).select("doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "reparameterised")
+    copies = copies.select("doc_id", "row", "item_id", F.when(consistent, F.col("at")).otherwise(F.col("verbatim")).alias("at"), (consistent & F.exists("pairs", lambda p: p["a"] != p["b"])).alias("other"))
+    judged = copies.groupBy("doc_id", "row", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max("other").alias("reparameterised"))
+    judged = judged.join(hint(sizes), "item_id").where(F.col("matched") >= coverage * F.col("windows"))
+    return judged.select("doc_id", "row", "item_id", "matched", "windows", "reparameterised")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, most_broadcast: int = 500_000) -> DataFrame:
+    """(doc_id, item_id, matched, windows, coverage, reparameterised): one row per document and item that it leaks."""
+    rows = leaking_rows(docs, benchmark, coverage, most_broadcast)
+    # the most matches, then one without a slot that differs
+    best = F.min(F.struct((-F.col("matched")).alias("less"), F.col("reparameterised").alias("other"), "windows")).alias("_b")
+    rows = rows.groupBy("doc_id", "item_id").agg(best)
+    matched = -F.col("_b.less")
+    return rows.select("doc_id", "item_id", matched.alias("matched"), "_b.windows", (matched / F.col("_b.windows")).alias("coverage"), F.col("_b.other").alias("reparameterised"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,15 +116,19 @@ _MARKED = rf"regexp_replace({_MARKED}, '(§n[0-9.,]+ )({UNITS})([^a-z]|$)', '\1
 _MARKED = "lower(translate({}, '{}', ''))".format(_MARKED, DROPPED.replace("'", "''"))
 
 OP9_SQL = rf"""
-with t as (select 'd' as kind, doc_id as id, text from documents where doc_id is not null union all select 'b', item_id, text from benchmark where item_id is not null),
-w as (select kind, id, regexp_extract_all({_MARKED}, '[^\x20\x09-\x0D]+') as ws from t),
-y as (select *, list_transform(ws, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '§n[0-9]+', '<n>', 'g'), '§m\p{{Ll}}+', '<m>', 'g'), '§u[a-z]+', '<u>', 'g')) as ts from w),
-p as (select kind, id, i, array_to_string(ts[i : i + 4], ' ') as k, ws[i : i + 4] as own from y, unnest(generate_series(1, len(ws) - 4)) as g(i)),
+with t as (select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark where item_id is not null),
+u as (select distinct kind, id, text from t),
+w as (select kind, id, text, regexp_extract_all({_MARKED}, '[^\x20\x09-\x0D]+') as ws from u),
+y as (select kind, id, text, false as named, ws from w union all select kind, id, text, true, list_transform(ws, lambda x: replace(x, '§m', '')) from w where list_bool_or(list_transform(ws, lambda x: contains(x, '§m')))),
+a as (select *, list_transform(ws, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '§n[0-9]+', '<n>', 'g'), '§m\p{{Ll}}+', '<m>', 'g'), '§u[a-z]+', '<u>', 'g')) as ts from y),
+k as (select w.kind, w.id, w.text, i, list_bool_or(list_transform(ws[i : i + 4], lambda x: contains(x, '§m'))) as names from w, unnest(generate_series(1, len(ws) - 4)) as g(i)),
+p as (select a.kind, a.id, a.text, i, array_to_string(ts[i : i + 4], ' ') as k, ws[i : i + 4] as own from a join k on a.kind = k.kind and a.id is not distinct from k.id and a.text = k.text where not named or names),
 z as (select id, count(distinct i) as windows from p where kind = 'b' group by id),
-f as (select d.id as doc_id, b.id as item_id, b.i as ipos, d.i - b.i as shift, b.own as x, d.own as y from p d join p b on d.k = b.k and d.kind = 'd' and b.kind = 'b'),
-s as (select distinct doc_id, item_id, shift, x[j] as a, y[j] as b from f, unnest(generate_series(1, 5)) as g(j) where contains(x[j], '§')),
-v as (select doc_id, item_id, shift, count(distinct a) = count(*) as consistent, bool_or(a <> b) as other from s group by all),
-c as (select f.doc_id, f.item_id, f.ipos, coalesce(other, false) as other from f left join v using (doc_id, item_id, shift) where coalesce(consistent, true)),
-j as (select doc_id, item_id, count(distinct ipos) as matched, bool_or(other) as reparameterised from c group by doc_id, item_id)
-select doc_id, item_id, matched, windows, matched / windows as coverage, reparameterised from j join z on z.id = item_id where matched >= 0.8 * windows
+f as (select d.id as doc_id, d.text, b.id as item_id, b.i as ipos, d.i - b.i as shift, b.own as x, d.own as y from p d join p b on d.k = b.k and d.kind = 'd' and b.kind = 'b'),
+s as (select distinct doc_id, text, item_id, shift, x[j] as a, y[j] as b from f, unnest(generate_series(1, 5)) as g(j) where contains(x[j], '§')),
+v as (select doc_id, text, item_id, shift, count(distinct a) = count(*) as consistent, bool_or(a <> b) as other from s group by all),
+c as (select f.doc_id, f.text, f.item_id, f.ipos, coalesce(other, false) and coalesce(consistent, true) as other, coalesce(consistent, true) or x = y as counts from f left join v on f.doc_id is not distinct from v.doc_id and f.text = v.text and f.item_id = v.item_id and f.shift = v.shift),
+j as (select doc_id, text, item_id, count(distinct ipos) filter (where counts) as matched, bool_or(other) as reparameterised from c group by all),
+r as (select doc_id, item_id, matched, windows, reparameterised, row_number() over (partition by doc_id, item_id order by matched desc, reparameterised) as n from j join z on z.id = item_id where matched >= 0.8 * windows)
+select doc_id, item_id, matched, windows, matched / windows as coverage, reparameterised from r where n = 1
 """

@@ -16,6 +16,7 @@ are encoded as tokenizers does.  Repeated rows and null ids are packed like any
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 import zlib
@@ -36,11 +37,15 @@ GROUP_TOKENS = 2_000_000
 #: How byte-level BPE cuts a text before it merges: a published pattern, a fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHED = 1_000_000
-COMPARED = 500
 
 
 class Encoder:
-    """tokenizers' ids, with the pieces that a byte-level BPE encodes on their own kept by the worker."""
+    """tokenizers' ids, with the pieces that a byte-level BPE encodes on their own kept by the worker.
+
+    The pieces are cut here only for the definition whose rules PIECES states (no normalizer, byte-level, no prefix
+    space), only if its merges come in the order of their tokens' ids, and only in texts of characters that both sides
+    put into the same class; all else is encoded by tokenizers as a whole.
+    """
 
     def __init__(self, definition: str):
         import regex
@@ -50,37 +55,48 @@ class Encoder:
         self.tokenizer = tokenizers.Tokenizer.from_str(definition)
         self.pieces = regex.compile(PIECES).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # the same vocabulary as byte ranks, for pieces on their own: kept only if it agrees with tokenizers
+        rules = json.loads(definition)
+        cut, model = rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+        known = not rules.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and model.get("type") == "BPE"
+        known = known and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        # the same vocabulary as byte ranks, for pieces on their own
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if t not in self.special}
         self.single = None
-        if all(c in byte for t in vocabulary for c in t):
-            ranks = {bytes([byte[c] for c in t]): i for t, i in vocabulary.items()}
-            self.single = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.compared = 0
+        if known and all(c in byte for t in vocabulary for c in t):
+            merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+            if None not in merged and all(a < b for a, b in zip(merged, merged[1:])) and len(vocabulary) == len(merged) + 256:
+                ranks = {bytes([byte[c] for c in t]): i for t, i in vocabulary.items()}
+                self.single = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         store = sys.modules.setdefault("_corpus_piece_cache", types.ModuleType("_corpus_piece_cache"))
         self.cache: dict[str, bytes] = store.__dict__.setdefault(f"k{zlib.crc32(definition.encode())}", {})
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        bytes_of = lambda ids: array("I", ids).tobytes()
-        if self.single is None or self.compared < COMPARED:
-            out = [bytes_of(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            if self.single is not None:
-                self.compared += len(pieces)
-                if out != [bytes_of(self.single(p.encode("utf-8", "replace"))) for p in pieces]:
-                    self.single = None
-            return out
-        return [bytes_of(self.single(p.encode("utf-8", "replace"))) for p in pieces]
+        self.alike: dict[str, None] = store.__dict__.setdefault(f"c{zlib.crc32(definition.encode())}", {})  # characters cut alike
+
+    def cut_alike(self, c: str) -> bool:
+        """Whether tokenizers cuts around c as PIECES does: next to letters, digits, signs, spaces, itself and a short form."""
+        probe = f"a{c}a1{c}1!{c}! {c} {c}{c}  {c}'s{c}'t\n{c}"
+        spans = [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+        at, own = 0, []
+        for x in self.pieces(probe):
+            own.append((at, at + len(x)))
+            at += len(x)
+        return spans == own
+
+    def known_text(self, text: str) -> bool:
+        new = () if text.isascii() else set(text).difference(self.alike)
+        self.alike.update((c, None) for c in new if self.cut_alike(c))
+        return all(c in self.alike for c in new)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes | None] = []
+        bytes_of = lambda ids: array("I", ids).tobytes()
         for text in texts:
             text = text or ""
-            if any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            if self.single is None or any(s in text for s in self.special) or not self.known_text(text):
+                out.append(bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
             pieces = self.pieces(text)
             try:
@@ -88,8 +104,8 @@ class Encoder:
             except KeyError:
                 if len(self.cache) > CACHED:
                     self.cache.clear()
-                new = list(set(pieces).difference(self.cache))
-                self.cache.update(zip(new, self.encode_pieces(new)))
+                new = set(pieces).difference(self.cache)
+                self.cache.update((p, bytes_of(self.single(p.encode("utf-8", "replace")))) for p in new)
                 out.append(b"".join(map(self.cache.__getitem__, pieces)))
         return out
 
