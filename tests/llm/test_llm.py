@@ -264,9 +264,33 @@ def test_fingerprints(docs, empty, spark):
     assert sorted((fingerprint.NO_ID if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert fingerprint.edited_fingerprints(empty).count() == 0
-    a = spark.createDataFrame([(1, "a\nb\nc"), (2, "same")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "a\nX\nc\nd"), (2, "same")], "doc_id long, text string")
-    assert [(r["doc_id"], r["sections"], r["paragraphs"]) for r in fingerprint.differing(a, b).collect()] == [(1, [0], [1, 3])]
+    lines = [f"line {i} of the text" for i in range(200)]
+    a = spark.createDataFrame([(1, "\n".join(lines)), (2, "same"), (3, "only here")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "\n".join(lines[:50] + ["put in"] + lines[50:])), (2, "same")], "doc_id long, text string")
+    found = fingerprint.differing(a, b).collect()
+    # one line more changes the branch it falls into and no paragraph of the left side
+    assert [(r["doc_id"], r["position"]) for r in found if r["side"] == "right" and r["part"] == "paragraph"] == [(1, 50)]
+    assert not [r for r in found if r["side"] == "left" and r["part"] == "paragraph"] and 1 <= len([r for r in found if r["side"] == "left"]) <= 2
+
+
+@pytest.mark.parametrize("text", ["", "a", "a\n", "\n\n", "no end\u2028", "x. y\x85", "ends\r\nso. on", "word " * 50 + "\n", "s" * 3000, None])
+def test_paragraphs_hold_the_whole_text(spark, text):
+    import re
+
+    parts = spark.createDataFrame([(text,)], "text string").select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(fingerprint.PARAGRAPH), F.lit(0))).first()[0]
+    assert "".join(parts) == (text or "") and all(parts)
+
+
+def test_likeness_is_the_share_of_common_nodes(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdesy.") for _ in range(4))
+    made = [" ".join(word() for _ in range(n)) for n in (0, 1, 40, 3000, 20000)]
+    changed = [t + " end." for t in made]
+    d = spark.createDataFrame(list(enumerate(zip(made, changed))), "i int, t struct<a: string, b: string>")
+    d = d.select("i", fingerprint.tree(F.col("t.a"))["tree"].alias("a"), fingerprint.tree(F.col("t.b"))["tree"].alias("b"))
+    for r in d.select("*", fingerprint.likeness(F.col("a"), F.col("b")).alias("near"), fingerprint.likeness(F.col("a"), F.col("a")).alias("same")).collect():
+        x, y = ({*r[k]["paragraphs"], *r[k]["sections"], r[k]["root"]} for k in "ab")
+        assert r["near"] == pytest.approx(2 * len(x & y) / (len(x) + len(y))) and r["near"] < 1 == r["same"]
 
 
 def test_packing(docs, empty):
@@ -295,6 +319,39 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_ids_are_those_of_tokenizers():
+    import json
+
+    import tokenizers
+
+    definition = open(packing.tokenizer_path(), encoding="utf-8").read()
+    rng = random.Random(9)
+    odd = [chr(c) for c in (0xA7D4, 0xA7E2, 0xA7F1, 0x2028, 0x85, 0x1C, 0x200B, 0xB2, 0x2160, 0xE9, 0x301)]
+    texts = ["".join(rng.choice([*odd, *"ab1 !'\n", "'s", "'t", " ", chr(rng.randrange(0xD800))]) for _ in range(30)) for _ in range(2000)]
+    rules = json.loads(definition)
+    for change in ({}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**rules["pre_tokenizer"], "add_prefix_space": True}}):
+        own = json.dumps(rules | change)
+        want = tokenizers.Tokenizer.from_str(own)
+        got = packing.Encoder(own).encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_step_groups_hold_one_length_and_bounded_tokens():
+    rng = random.Random(10)
+    pieces, sequences = packing.pack([rng.choice([3, 100, 700, 1500, 5000]) for _ in range(400)])
+    groups = collections.defaultdict(list)
+    for i, g in enumerate(packing.step_groups(pieces, sequences)):
+        groups[g].append(sequences[i])
+    assert all(len(set(v)) == 1 and sum(v) <= packing.STEP_TOKENS for v in groups.values())
+    cost = collections.Counter()
+    for _, _, n, s, _ in pieces:
+        cost[s] += n * n
+    full = [g for g, v in groups.items() if v[0] == 1024 and len(v) == 8]
+    of = packing.step_groups(pieces, sequences)
+    sums = [sum(c for s, c in cost.items() if of[s] == g) for g in full]
+    assert max(sums) <= 1.3 * min(sums)
+
+
 def test_leaks(spark, empty):
     item = "the train to the big City leaves with 12 boxes and 12 km of rope for Anna near the old harbour wall"
     other = item.replace("12", "40").replace("City", "Town").replace("Anna", "Maria")
@@ -303,7 +360,15 @@ def test_leaks(spark, empty):
     d = spark.createDataFrame([(1, filler + item), (2, filler + other + ". More."), (3, filler + uneven), (4, filler * 5), (5, None), (6, ""), (None, item), (7, item.upper().replace("KM", "km"))], "doc_id long, text string")
     b = spark.createDataFrame([(10, item), (11, None), (12, "too short")], "item_id long, text string")
     got = {r["doc_id"]: r["reparameterised"] for r in decontaminate.leaks(d, b).collect()}
-    assert got.get(1) is False and got.get(2) is True and 3 not in got and 4 not in got and None not in got
+    assert got.get(1) is False and got.get(2) is True and 3 not in got and 4 not in got and got.get(None) is False and 7 in got
+    assert {r["doc_id"]: r["reparameterised"] for r in decontaminate.leaks(d, b, most_broadcast=0).collect()} == got
+    # rows of one id are judged apart: the copy counts, the other row takes nothing from it
+    twice = spark.createDataFrame([(1, filler + item, "x"), (1, filler + uneven, "y"), (1, filler + other, "z"), (1, filler + item, "x")], "doc_id long, text string, item_id string")
+    assert [(r["doc_id"], r["reparameterised"]) for r in decontaminate.leaks(twice, b).collect()] == [(1, False)]
+    long = " ".join(f"w{i % 97}x{i % 89}" for i in range(9000))
+    one_off = " ".join([*long.split()[:4000], *item.replace("12 km", "13 km").split()])
+    numbered = spark.createDataFrame([(20, long), (21, one_off)], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.leaks(numbered, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()] == [20]
     assert decontaminate.leaks(empty, b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 

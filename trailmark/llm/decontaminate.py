@@ -5,7 +5,9 @@ typed placeholders, case and punctuation go.  Windows of five template words of
 those of all documents; a window with a name has a second hash with its names as plain words, so a copy in another
 case is found as well.  Matches on one alignment (document position less item position) are one copy of the item.  Its
 slots must be consistent: wherever the item repeats a value, the copy repeats its own; of a copy that isn't, only the
-windows that are equal word for word count.  A document leaks an item if its copies cover 0.8 or more of the item's
+windows that are equal word for word count.  A template that stands over 20 times in one item, as in a table of
+numbers, can't be aligned: such windows count where the document holds the same five words; so no template meets a
+document's windows more than 20 times an item.  A document leaks an item if its copies cover 0.8 or more of the item's
 distinct window positions; ``reparameterised`` tells whether a slot of a consistent copy differs.
 
 The benchmark's windows are broadcast only if they number at most ``most_broadcast``; else Spark joins both sides by
@@ -16,11 +18,13 @@ are items; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW = 5
 COVERAGE = 0.8
+#: A template that stands more often in an item isn't aligned.
+MOST = 20
 MARK = "§"
 #: Unit words that may follow a number: fixed values.
 UNITS = "kilometers|kilometres|kilograms|centimeters|millimeters|meters|metres|miles|feet|inches|grams|liters|litres|pounds|ounces|seconds|minutes|hours|days|weeks|months|years|percent|dollars|euros|cents|degrees|km|kg|cm|mm|mg|ml|lb|oz|ft|mph|kmh|ms|min|hrs"
@@ -79,17 +83,26 @@ def leaking_rows(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """leaks() for each text: (doc_id, row, item_id, matched, windows, reparameterised), row being xxhash64(text)."""
     items = windows(benchmark.where("item_id is not null"), "item_id").toDF("item_id", "irow", "ipos", "h", "islots", "inamed")
     sizes = items.groupBy("item_id").agg(F.countDistinct("ipos").alias("windows"))
+    often = (F.count(F.lit(1)).over(Window.partitionBy("item_id", "h")) > MOST).cast("int")
+    items = items.withColumn("_often", often).withColumn("often", F.max("_often").over(Window.partitionBy("item_id", "ipos")) > 0).drop("_often")
     small = benchmark.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     hint = F.broadcast if small <= most_broadcast else lambda x: x
-    found = windows(docs, "doc_id").join(hint(items), "h")
+    found = windows(docs, "doc_id").join(hint(items.where("not often")), "h").withColumn("shift", F.col("pos") - F.col("ipos"))
     # a pair for each word in which one side has a placeholder; plain names against plain words agree as they are
     pairs = F.filter(F.arrays_zip(F.split("islots", " ").alias("a"), F.split("slots", " ").alias("b")), lambda p: F.contains(p["a"], F.lit(MARK)))
     same = F.col("islots").eqNullSafe(F.col("slots"))
-    found = found.select("doc_id", "row", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.when(F.col("islots").isNotNull(), pairs).alias("pairs"), F.when(same, F.col("ipos")).alias("verbatim"))
+    found = found.select("doc_id", "row", "item_id", "ipos", "shift", F.when(F.col("islots").isNotNull(), pairs).alias("pairs"), F.when(same, F.col("ipos")).alias("verbatim"))
     copies = found.groupBy("doc_id", "row", "item_id", "shift").agg(F.collect_set("ipos").alias("at"), F.collect_set("verbatim").alias("verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
     copies = copies.select("doc_id", "row", "item_id", F.when(consistent, F.col("at")).otherwise(F.col("verbatim")).alias("at"), (consistent & F.exists("pairs", lambda p: p["a"] != p["b"])).alias("other"))
-    judged = copies.groupBy("doc_id", "row", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max("other").alias("reparameterised"))
+    hits = copies.select("doc_id", "row", "item_id", F.explode("at").alias("ipos"), "other")
+    words_of = lambda h, slots: F.when(F.col(slots).isNull(), F.col(h)).otherwise(F.xxhash64(slots))
+    unaligned = items.where("often and not inamed").select("item_id", "ipos", words_of("h", "islots").alias("words"))
+    if not unaligned.isEmpty():
+        own = windows(docs, "doc_id").where("not named").select("doc_id", "row", words_of("h", "slots").alias("words"))
+        own = own.join(hint(unaligned.select("words").distinct()), "words", "left_semi").distinct()
+        hits = hits.unionByName(own.join(hint(unaligned), "words").select("doc_id", "row", "item_id", "ipos", F.lit(False).alias("other")))
+    judged = hits.groupBy("doc_id", "row", "item_id").agg(F.countDistinct("ipos").alias("matched"), F.max("other").alias("reparameterised"))
     judged = judged.join(hint(sizes), "item_id").where(F.col("matched") >= coverage * F.col("windows"))
     return judged.select("doc_id", "row", "item_id", "matched", "windows", "reparameterised")
 
@@ -122,13 +135,16 @@ w as (select kind, id, text, regexp_extract_all({_MARKED}, '[^\x20\x09-\x0D]+')
 y as (select kind, id, text, false as named, ws from w union all select kind, id, text, true, list_transform(ws, lambda x: replace(x, '§m', '')) from w where list_bool_or(list_transform(ws, lambda x: contains(x, '§m')))),
 a as (select *, list_transform(ws, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '§n[0-9]+', '<n>', 'g'), '§m\p{{Ll}}+', '<m>', 'g'), '§u[a-z]+', '<u>', 'g')) as ts from y),
 k as (select w.kind, w.id, w.text, i, list_bool_or(list_transform(ws[i : i + 4], lambda x: contains(x, '§m'))) as names from w, unnest(generate_series(1, len(ws) - 4)) as g(i)),
-p as (select a.kind, a.id, a.text, i, array_to_string(ts[i : i + 4], ' ') as k, ws[i : i + 4] as own from a join k on a.kind = k.kind and a.id is not distinct from k.id and a.text = k.text where not named or names),
+p as (select a.kind, a.id, a.text, a.named, i, array_to_string(ts[i : i + 4], ' ') as k, ws[i : i + 4] as own from a join k on a.kind = k.kind and a.id is not distinct from k.id and a.text = k.text where not named or names),
 z as (select id, count(distinct i) as windows from p where kind = 'b' group by id),
-f as (select d.id as doc_id, d.text, b.id as item_id, b.i as ipos, d.i - b.i as shift, b.own as x, d.own as y from p d join p b on d.k = b.k and d.kind = 'd' and b.kind = 'b'),
+m as (select *, count(*) over (partition by id, k) > 20 as o from p where kind = 'b'),
+b as (select *, bool_or(o) over (partition by id, i) as often from m),
+f as (select d.id as doc_id, d.text, b.id as item_id, b.i as ipos, d.i - b.i as shift, b.own as x, d.own as y from p d join b on d.k = b.k and d.kind = 'd' and not often),
 s as (select distinct doc_id, text, item_id, shift, x[j] as a, y[j] as b from f, unnest(generate_series(1, 5)) as g(j) where contains(x[j], '§')),
 v as (select doc_id, text, item_id, shift, count(distinct a) = count(*) as consistent, bool_or(a <> b) as other from s group by all),
 c as (select f.doc_id, f.text, f.item_id, f.ipos, coalesce(other, false) and coalesce(consistent, true) as other, coalesce(consistent, true) or x = y as counts from f left join v on f.doc_id is not distinct from v.doc_id and f.text = v.text and f.item_id = v.item_id and f.shift = v.shift),
-j as (select doc_id, text, item_id, count(distinct ipos) filter (where counts) as matched, bool_or(other) as reparameterised from c group by all),
+h as (select doc_id, text, item_id, ipos, other from c where counts union all select distinct d.id, d.text, b.id, b.i, false from p d join b on d.own = b.own and d.kind = 'd' and not d.named and not b.named and often),
+j as (select doc_id, text, item_id, count(distinct ipos) as matched, bool_or(other) as reparameterised from h group by all),
 r as (select doc_id, item_id, matched, windows, reparameterised, row_number() over (partition by doc_id, item_id order by matched desc, reparameterised) as n from j join z on z.id = item_id where matched >= 0.8 * windows)
 select doc_id, item_id, matched, windows, matched / windows as coverage, reparameterised from r where n = 1
 """

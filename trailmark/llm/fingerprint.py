@@ -1,12 +1,17 @@
-"""Merkle fingerprints of documents: sections over paragraphs, in DataFrame functions only.
+"""Merkle fingerprints of documents: a tree of paragraphs and sections, in DataFrame functions only.
 
-A paragraph is a line, a section eight of them.  The root is a digest of the section digests, so it tests equality
-of whole texts; sections and paragraphs whose digests differ locate an edit.  Below the paragraphs stand leaves of up
-to four words of one line; the fingerprint keeps the 64 smallest of their digests, so it is short for any text, and
-two fingerprints estimate the Jaccard likeness of the leaves (exactly, for texts with 64 leaves or fewer).
+Both are cut by content, so an insertion changes the branches it falls into and moves the others: a paragraph ends with
+its line, or in a line after a word that ends in one of CUTS; a section ends after a paragraph whose digest begins with
+one of two of the sixteen hexadecimal digits.  A section's digest is that of its paragraphs' digests, the root that of
+the sections'.  Paragraphs hold every character of the text, so equal roots mean equal texts.
 
-Null texts count as empty; empty texts have one empty paragraph and no leaves, and are like each other (1.0) and like
-nothing else (0.0).  Repeated rows give repeated rows.  Extra columns are not read.
+The fingerprint is the root.  The likeness of two trees is the share of nodes (paragraphs, sections and root, each
+distinct digest once) that both have: twice the common ones by those of both, 1 only for equal roots.  No node is left
+out, however long the text.  ``differing`` walks down from unequal roots: sections that the other tree lacks, and in
+them the paragraphs that it lacks.
+
+Null texts count as empty; an empty text has no paragraphs, is like other empty ones (1.0) and like nothing else (0.0).
+Repeated rows give repeated rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -16,92 +21,99 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, with_next
 
-PARAGRAPHS = 8
-KEPT = 64
-LEAF = "(?:[^ \\t\\r\\n]+[ \\t]*){1,4}"
+#: Last characters of a word after which a line is cut.
+CUTS = ".!?;:,sy"
+PARAGRAPH = f"[^\\n]*?[{CUTS}](?:[ \\t\\r]+|\\n|\\z)|[^\\n]*\\n|[^\\n]+"
+SECTION = "(?:[0-9a-f]{16},)*?[01][0-9a-f]{15},|(?:[0-9a-f]{16},)+"
 
 
-def _parts(text: Column) -> dict[str, Column]:
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    paragraphs = F.transform(lines, lambda x: F.substring(F.md5(x.cast("binary")), 1, 16))
+def _digest(x: Column) -> Column:
+    return F.substring(F.md5(x.cast("binary")), 1, 16)
 
-    def of(bound: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(bound), F.lit(PARAGRAPHS))
-        return F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(bound, i, F.lit(PARAGRAPHS)), ",").cast("binary")), 1, 16))
 
-    # the paragraphs as a lambda's variable: named inside the inner lambda, they would be digested anew for each section
-    sections = F.transform(F.array(paragraphs), of)[0]
-    leaves = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LEAF), F.lit(0)), lambda x: F.substring(F.md5(F.rtrim(x).cast("binary")), 1, 8))
-    return {"root": F.md5(F.array_join(sections, ",").cast("binary")), "sections": sections, "paragraphs": paragraphs, "leaves": F.slice(F.sort_array(F.array_distinct(leaves)), 1, KEPT)}
+def tree(text: Column) -> dict[str, Column]:
+    """paragraphs and sections (arrays of digests, in order) and root, digests in hexadecimal."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
+    joined = F.array_join(F.transform(parts, _digest), ",")
+    # the joined digests as a lambda's variable, so that they are made once
+    made = F.transform(F.array(joined), lambda p: F.struct(F.filter(F.split(p, ","), lambda x: x != "").alias("paragraphs"), F.transform(F.regexp_extract_all(F.concat(p, F.lit(",")), F.lit(SECTION), F.lit(0)), _digest).alias("sections")))[0]
+    made = F.transform(F.array(made), lambda t: F.struct(t["paragraphs"].alias("paragraphs"), t["sections"].alias("sections"), F.md5(F.array_join(t["sections"], ",").cast("binary")).alias("root")))[0]
+    return {name: made[name] for name in ("paragraphs", "sections", "root")} | {"tree": made}
 
 
-def fingerprint(text: Column) -> Column:
-    """The root, a colon, and the kept leaves."""
-    parts = _parts(text)
-    return F.concat(parts["root"], F.lit(":"), F.array_join(parts["leaves"], ""))
+def nodes(tree: Column) -> Column:
+    return F.array_distinct(F.concat(tree["paragraphs"], tree["sections"], F.array(tree["root"])))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 from two fingerprints: 1 if equal, else the share of common leaves among the 64 smallest of both."""
-    leaves = lambda x: F.regexp_extract_all(F.substring(x, 34, 8 * KEPT), F.lit("[0-9a-f]{8}"), F.lit(0))
-    both = F.slice(F.sort_array(F.array_union(leaves(a), leaves(b))), 1, KEPT)
-    common = F.size(F.array_intersect(F.array_intersect(leaves(a), leaves(b)), both))
-    return F.when(a == b, F.lit(1.0)).when(F.size(both) == 0, F.lit(0.0)).otherwise(common / F.size(both))
+    """0 to 1 from two trees."""
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(nodes(a), nodes(b))) / (F.size(nodes(a)) + F.size(nodes(b))))
+
+
+def first_lost(a: Column, b: Column) -> Column:
+    """0-based position of the first digest of array a that array b lacks, or null; in time linear in both."""
+    gone = F.array_except(a, b)
+    return F.when(F.size(gone) > 0, F.array_position(a, F.get(gone, F.lit(0))) - 1)
 
 
 def document_trees(docs: DataFrame) -> DataFrame:
-    """doc_id, root, sections, paragraphs and kept leaves; digests in hexadecimal."""
-    return docs.select("doc_id", *[c.alias(name) for name, c in _parts(F.col("text")).items()])
+    """doc_id and tree, a struct of paragraphs, sections and root."""
+    return docs.select("doc_id", tree(F.col("text"))["tree"].alias("tree"))
 
 
 def differing(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Where two versions of documents differ: doc_id, sections and paragraphs (0-based positions) whose digests differ.
+    """Where two versions of documents differ: (doc_id, side, part, position) of each section and paragraph that the other side lacks.
 
-    A document that only one side has is no edit and doesn't appear; equal roots end the comparison at once.
+    doc_ids are distinct on each side; side is left or right, part section or paragraph, position 0-based.  A document
+    that only one side has is no edit and doesn't appear; equal roots end the comparison at once.  A version in which
+    parts only change places or number has unequal roots and no rows.
     """
     a, b = document_trees(left).alias("a"), document_trees(right).alias("b")
-    both = a.join(b, "doc_id").where("a.root <> b.root")
-
-    def unequal(name: str) -> Column:
-        pairs = F.arrays_zip(F.col(f"a.{name}").alias("x"), F.col(f"b.{name}").alias("y"))
-        marked = F.transform(pairs, lambda p, i: F.when(~p["x"].eqNullSafe(p["y"]), i))
-        return F.array_compact(marked)
-
-    return both.select("doc_id", unequal("sections").alias("sections"), unequal("paragraphs").alias("paragraphs"))
+    both = a.join(b, "doc_id").where("a.tree.root <> b.tree.root")
+    parts = [F.struct(F.lit(side).alias("side"), F.lit(part).alias("part"), F.col(f"{x}.tree.{part}s").alias("own"), F.array_except(f"{x}.tree.{part}s", f"{y}.tree.{part}s").alias("gone")) for side, x, y in (("left", "a", "b"), ("right", "b", "a")) for part in ("section", "paragraph")]
+    rows = both.select("doc_id", F.inline(F.array(*parts))).where(F.size("gone") > 0)
+    own = rows.select("doc_id", "side", "part", F.posexplode("own").alias("position", "digest"))
+    gone = rows.select("doc_id", "side", "part", F.explode("gone").alias("digest"))
+    return own.join(gone, ["doc_id", "side", "part", "digest"], "left_semi").select("doc_id", "side", "part", "position")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text, of the text with its last half replaced by the next document's start, and their likeness."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, [F.coalesce("doc_id", F.lit(NO_ID)), F.col("text")], ["text"])
+    """Fingerprints of each text and of the text with its last half replaced by the next document's start, their likeness, and the text's branches that the edit touched.
+
+    edited_sections: how many distinct sections of the text the edited text lacks; edited_from: position of its first such paragraph.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), tree(F.col("text"))["tree"].alias("tree"))
+    rows = with_next(rows, [F.coalesce("doc_id", F.lit(NO_ID)), F.col("text")], ["text", "tree"])
     half = F.floor(F.length("text") / 2).cast("int")
-    after = F.coalesce("next_text", F.lit(""))
-    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), after.substr(F.lit(1), half)))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(after).alias("_next"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("next_text").substr(F.lit(1), half))
+    rows = rows.withColumn("edited", edited).withColumn("edited_tree", tree(F.col("edited"))["tree"])
+    own, new = F.col("tree"), F.col("edited_tree")
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        own["root"].alias("fingerprint"), new["root"].alias("edited_fingerprint"), likeness(own, new).alias("near_edited"), likeness(own, F.col("next_tree")).alias("near_next"),
+        F.size(F.array_except(own["sections"], new["sections"])).cast("long").alias("edited_sections"), first_lost(own["paragraphs"], new["paragraphs"]).alias("edited_from"),
+    )
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_FP = """md5(array_to_string(list_transform(generate_series(0, (len(p) - 1) // 8), lambda s: substr(md5(array_to_string(p[s * 8 + 1 : s * 8 + 8], ',')), 1, 16)), ','))
- || ':' || array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?:[^ \\t\\r\\n]+[ \\t]*){1,4}'), lambda x: substr(md5(rtrim(x, ' ')), 1, 8))))[1:64], '')"""
+_PARAGRAPH = rf"[^\n]*?[{CUTS}](?:[ \t\r]+|\n|\z)|[^\n]*\n|[^\n]+"
 
-OP7_SQL = f"""
+OP7_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 n as (select doc_id, text, coalesce(lead(text) over (order by doc_id nulls last, text), first_value(text) over (order by doc_id nulls last, text)) as nt from d),
-e as (select *, length(text) // 2 as h from n),
-v as (select doc_id, text, nt, substr(text, 1, length(text) - h) || substr(nt, 1, h) as edited from e),
-u as (select doc_id, 0 as k, text as t from v union all select doc_id, 1, edited from v union all select doc_id, 2, nt from v),
-l as (select distinct t, list_transform(string_split(t, chr(10)), lambda x: substr(md5(x), 1, 16)) as p from u),
-f as (select t, {_FP} as fp from l),
-w as (select v.doc_id, cast(length(text) as bigint) as n_chars, sha256(edited) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint, c.fp as nf
-      from v join f a on a.t = v.text join f b on b.t = v.edited join f c on c.t = v.nt),
-x as (select *, regexp_extract_all(substr(fingerprint, 34), '[0-9a-f]{{8}}') as la, regexp_extract_all(substr(edited_fingerprint, 34), '[0-9a-f]{{8}}') as lb, regexp_extract_all(substr(nf, 34), '[0-9a-f]{{8}}') as lc from w),
-y as (select *, list_sort(list_distinct(list_concat(la, lb)))[1:64] as ub, list_sort(list_distinct(list_concat(la, lc)))[1:64] as uc from x)
-select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
- case when fingerprint = edited_fingerprint then 1.0 when len(ub) = 0 then 0.0 else len(list_intersect(list_intersect(la, lb), ub)) / len(ub) end::double as near_edited,
- case when fingerprint = nf then 1.0 when len(uc) = 0 then 0.0 else len(list_intersect(list_intersect(la, lc), uc)) / len(uc) end::double as near_next
-from y
+v as (select doc_id, text, nt, substr(text, 1, length(text) - length(text) // 2) || substr(nt, 1, length(text) // 2) as edited from n),
+u as (select distinct t from (select text as t from v union all select edited from v)),
+l as (select t, list_transform(regexp_extract_all(t, '{_PARAGRAPH}'), lambda x: substr(md5(x), 1, 16)) as p from u),
+s as (select t, p, list_transform(regexp_extract_all(array_to_string(p, ',') || ',', '{SECTION}'), lambda x: substr(md5(x), 1, 16)) as s from l),
+r as (select t, p, s, md5(array_to_string(s, ',')) as root from s),
+f as (select *, list_distinct(list_concat(p, s, [root])) as nodes from r)
+select doc_id, cast(length(v.text) as bigint) as n_chars, sha256(v.edited) as edited_sha256, a.root as fingerprint, b.root as edited_fingerprint,
+ case when a.root = b.root then 1.0 else 2 * len(list_intersect(a.nodes, b.nodes)) / (len(a.nodes) + len(b.nodes)) end::double as near_edited,
+ case when a.root = c.root then 1.0 else 2 * len(list_intersect(a.nodes, c.nodes)) / (len(a.nodes) + len(c.nodes)) end::double as near_next,
+ cast(len(list_filter(list_distinct(a.s), lambda x: not list_contains(b.s, x))) as bigint) as edited_sections,
+ cast(list_filter(list_transform(a.p, lambda x, i: case when not list_contains(b.p, x) then i - 1 end), lambda x: x is not null)[1] as bigint) as edited_from
+from v join f a on a.t = v.text join f b on b.t = v.edited join f c on c.t = v.nt
 """
