@@ -65,16 +65,14 @@ def windows(table: DataFrame, key: str) -> DataFrame:
     t = t.withColumn("_h", hashed(F.col("_w"))).withColumn("_p", F.when(F.col("_names"), F.transform("_w", lambda x: F.replace(x, F.lit(f"{MARK}m"), F.lit("")))))
     t = t.withColumn("_g", F.when(F.col("_names"), hashed(F.col("_p"))))
 
-    def window(i: Column) -> Column:
-        own = F.when(F.col("_any"), F.array_join(F.slice("_w", i, F.lit(WINDOW)), " "))
-        plain = F.array_join(F.slice("_p", i, F.lit(WINDOW)), " ")
-        over = lambda h: F.xxhash64(*[F.element_at(h, i + j) for j in range(WINDOW)])
-        slots = lambda x: F.when(F.contains(x, F.lit(MARK)), x)
-        first = F.struct(i.alias("pos"), over("_h").alias("h"), slots(own).alias("slots"), F.lit(False).alias("named"))
-        second = F.struct(i.alias("pos"), over("_g").alias("h"), slots(plain).alias("slots"), F.lit(True).alias("named"))
-        return F.when(F.col("_names") & F.contains(own, F.lit(f"{MARK}m")), F.array(first, second)).otherwise(F.array(first))
-
-    made = F.when(F.size("_w") >= WINDOW, F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), window)))
+    over = lambda h, i: F.xxhash64(*[F.element_at(h, i + j) for j in range(WINDOW)])
+    row = lambda i, h, own, named: F.struct(i.alias("pos"), over(h, i).alias("h"), F.when(F.contains(own, F.lit(MARK)), own).alias("slots"), F.lit(named).alias("named"))
+    joined = lambda w, i: F.array_join(F.slice(w, i, F.lit(WINDOW)), " ")
+    first = lambda i: row(i, "_h", F.when(F.col("_any"), joined("_w", i)), False)
+    # texts with names: the windows that hold one have a second row
+    both = lambda i: F.when(F.contains(joined("_w", i), F.lit(f"{MARK}m")), F.array(first(i), row(i, "_g", joined("_p", i), True))).otherwise(F.array(first(i)))
+    places = F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1))
+    made = F.when(F.size("_w") >= WINDOW, F.when(F.col("_names"), F.flatten(F.transform(places, both))).otherwise(F.transform(places, first)))
     # the outer form, as for the inner one Spark infers a filter that repeats all of the above for every element
     return t.select(key, "row", made.alias("_x")).select(key, "row", F.inline_outer("_x")).where("h is not null")
 
