@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+STATES = ("encoded", "active", "stabilizing", "consolidated", "fading", "archived")
+
+
 def start() -> Column:
     return F.struct(F.lit("encoded").alias("state"), F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("stability"), F.lit(1.0).alias("decay"))
 
@@ -26,6 +29,11 @@ def decay(s: Column, steps: float = 1.0) -> Column:
     return _state(state, s["count"], stability, decayed)
 
 
+def consolidate(s: Column) -> Column:
+    """A memory that has been drawn together with others: consolidated, with a stability and a decay factor not under these."""
+    return _state(F.lit("consolidated"), s["count"], F.greatest(s["stability"], F.lit(0.85)), F.greatest(s["decay"], F.lit(0.9)))
+
+
 def policy_reinforce(s: Column) -> Column:
     """A dynamic policy's touch: its own step up of the decay factor, then the lifecycle's."""
     return reinforce(_state(s["state"], s["count"], s["stability"], F.least(F.lit(1.0), s["decay"] + 0.02)))
