@@ -30,7 +30,7 @@ from .common import NO_ID, column, materialize, slices, words_of
 
 WINDOW = 13
 MINIMISER = 4
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 
 
