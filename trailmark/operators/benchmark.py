@@ -49,7 +49,7 @@ def _all_in(cases: DataFrame, name: str, found: str) -> Column:
     return F.when(F.size(F.coalesce(name, F.array().cast(cases.schema[name].dataType))) > 0, F.size(F.array_except(name, found)) == 0)
 
 
-def _trace_steps(trace: DataFrame, by: list[str]) -> DataFrame:
+def trace_steps(trace: DataFrame, by: list[str]) -> DataFrame:
     step = F.struct(*([F.col("seed")] if "seed" not in by else []), "step", "node_id", "edge_type", "hop", "is_seed", "stopped_reason")
     return trace.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("_trace"))
 
@@ -72,8 +72,8 @@ def surfaced(found: search.Found, nodes: DataFrame, edges: DataFrame, memories:
     best = search.best_path(found.paths)
     hops = F.filter(F.transform("steps", lambda s: s["via_edge_type"]), lambda e: e.isNotNull())
     top = best.select(*Q, "seed", F.col("steps").alias("best_steps"), hops.alias("path_edge_types"), F.greatest(F.lit(0), F.size("steps") - 1).alias("best_path_hops"), F.col("answer").alias("best_answer"))
-    top = top.join(_trace_steps(found.trace, [*Q, "seed"]), [*Q, "seed"], "left").drop("seed")
-    every = _trace_steps(found.trace, Q).withColumnRenamed("_trace", "_snapshot")
+    top = top.join(trace_steps(found.trace, [*Q, "seed"]), [*Q, "seed"], "left").drop("seed")
+    every = trace_steps(found.trace, Q).withColumnRenamed("_trace", "_snapshot")
     paths = found.paths.groupBy(*Q).agg(F.collect_list("steps").alias("_paths"))
     pairs = graph.surfaced_pairs(graph.contradictions(nodes, graph.add_reverse(edges)), rows.select(*Q, "node_id"))
     pairs = pairs.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")))).alias("pairs_found"))

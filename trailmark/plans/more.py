@@ -39,7 +39,7 @@ def semantic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sectioned.semantic_edges(_kinds(spark, sf_dir), "contract")
 
 
-_RULE = "case " + " ".join(f"when {_like('low', cues)} then '{kind}'" for kind, cues, _ in sectioned.PACKS["contract"][2]) + " end"
+_RULE = "case " + " ".join(f"when {_like('low', cues)} then '{kind}'" for kind, cues, _ in sectioned.PACKS["contract"].rules) + " end"
 _EDGES = f"""o as (select o_orderpriority, o_orderstatus, min(o_orderkey) as o_orderkey from orders group by all), c as (select o_orderpriority || ':' || o_orderstatus as id, {_PLAIN_SQL} as text from o),
 p as (select id, lower(text) as low, {_TOKENS} as t from c), b as (select *, {_RULE} as edge_type, {_ROLE} as role from p),
 e as (select l.id as src, r.id as dst, l.edge_type, 0.7::double as weight, l.edge_type = 'exception_to' as bidirectional, l.role as src_role, r.role as dst_role from b l join b r on r.id < l.id and l.edge_type is not null and len(list_intersect(l.t, r.t)) >= 2)"""
