@@ -51,40 +51,3 @@ def test_ndcg(spark):
     gold = spark.createDataFrame([(1, 8)], "query_id long, node_id long")
     row = evaluate.ranking_metrics(ranked, gold, 10).first()
     assert row["ndcg"] == pytest.approx(0.63093, abs=1e-5) and row["hit"]
-
-
-def test_simple_paths(spark):
-    seeds = spark.createDataFrame([(0, 1)], "query_id long, node_id long")
-    edges = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5), (2, 3, 0.5)], "src long, dst long, weight double")
-    assert sorted(tuple(r["path"]) for r in recall.simple_paths(seeds, edges, 2).collect()) == [(1,), (1, 2), (1, 2, 3)]
-
-
-def queue_spread(edges, seed, activation, hops, most):
-    """The same by a queue: (node) -> (activation, hop, source)."""
-    best, expanded, queue, seen = {}, set(), [(seed, activation, 0, None)], []
-    while queue and len(best) < most:
-        node, a, hop, source = queue.pop(0)
-        if a <= best.get(node, (-1.0,))[0]:
-            continue
-        best[node] = (a, hop, source)
-        if hop == hops:
-            continue
-        expanded.add(node)
-        for _, dst, w in sorted((e for e in edges if e[0] == node), key=lambda e: (-e[2], e[1])):
-            p = a * 0.75 * w
-            if dst not in expanded and p >= 0.15:
-                queue.append((dst, round(p, 9), hop + 1, node))
-    return best
-
-
-def test_spreading_equals_a_queue(spark):
-    rng = random.Random(5)
-    graph = {(rng.randrange(9), rng.randrange(9)): rng.choice([0.5, 0.7, 0.9, 1.0]) for _ in range(26)}
-    edges = [(a, b, w) for (a, b), w in graph.items() if a != b]
-    frame = spark.createDataFrame([(*e, 1.0) for e in edges], "src long, dst long, weight double, factor double")
-    seeds = spark.createDataFrame([(i, i, 0.9) for i in range(4)], "query_id long, node_id long, activation double")
-    got = {}
-    for r in recall.spread(seeds, frame, 2, most=5).collect():
-        got.setdefault(r["query_id"], {})[r["node_id"]] = (pytest.approx(r["activation"]), r["hop"], r["source"])
-    for i in range(4):
-        assert queue_spread(edges, i, 0.9, 2, 5) == got[i]

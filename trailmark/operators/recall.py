@@ -1,10 +1,8 @@
-"""Ranking of nodes for queries, activation spreading and path search on graphs."""
+"""Rankings of nodes for questions by overlap or by hashed embeddings."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import text
@@ -45,70 +43,7 @@ def hash_embedding_topk(queries: DataFrame, nodes: DataFrame, k: int) -> DataFra
     return _ranked(hash_embedding_scores(queries, nodes), "query_id", "score", "node_id", k)
 
 
-def hybrid_seeds(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """The k best by cosine and the k best by the larger of cosine and overlap; a node's larger score counts."""
-    e, l = hash_embedding_scores(queries, nodes), lexical_scores(queries, nodes).withColumnRenamed("score", "lex")
-    both = e.join(l, ["query_id", "node_id"], "full_outer").select("query_id", "node_id", F.coalesce("score", F.lit(0.0)).alias("cos"), F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("lex", F.lit(0.0))).alias("best"))
-    first = _ranked(both.select("query_id", "node_id", F.col("cos").alias("score")), "query_id", "score", "node_id", k)
-    second = _ranked(both.select("query_id", "node_id", F.col("best").alias("score")), "query_id", "score", "node_id", k)
-    return first.unionByName(second).groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
-
-
 def both_ways(edges: DataFrame) -> DataFrame:
     """edges and, of bidirectional ones, their reverse."""
     back = edges.where("bidirectional").select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in edges.columns])
     return edges.unionByName(back)
-
-
-def simple_paths(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(query_id, path, weight): all simple paths of up to hops edges from each seed (query_id, node_id)."""
-    level = seeds.select("query_id", F.array("node_id").alias("path"), F.lit(1.0).alias("weight"))
-    levels = [level]
-    for _ in range(hops):
-        level = level.withColumn("src", F.element_at("path", -1)).join(edges.select("src", "dst", F.col("weight").alias("_w")), "src").where(~F.array_contains("path", F.col("dst")))
-        level = level.select("query_id", F.concat("path", F.array("dst")).alias("path"), F.round(F.col("weight") * F.col("_w"), 9).alias("weight"))
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
-
-
-def spread(seeds: DataFrame, edges: DataFrame, hops: int, decay: float = 0.75, threshold: float = 0.15, bonus: Column | None = None, most: int | None = 12) -> DataFrame:
-    """Activation spreading, level by level: (query_id, node_id, activation, hop, source).
-
-    seeds: (query_id, node_id, activation), one seed a query.  edges: (src, dst, weight, factor).  A row is accepted
-    if it exceeds all earlier activations of its node; after ``most`` distinct nodes of a query nothing is accepted.
-    Accepted rows push activation * decay * weight, dropped under the threshold before and after the node's factor,
-    plus bonus (of the edge's columns) up to 1; edges into nodes that have been expanded push nothing.  Rows of a
-    level stand in the order they were pushed: by the pushing row, then larger weight, then node.
-    """
-    by_node = Window.partitionBy("query_id", "node_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    by_query = Window.partitionBy("query_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    level = seeds.select("query_id", "node_id", F.col("activation").cast("double").alias("activation"), F.lit(None).cast("long").alias("source"), F.lit(1).cast("long").alias("seq"))
-    best = level.select("query_id", "node_id", F.lit(-1.0).alias("carried")).where("false")
-    expanded = level.select("query_id", "node_id").where("false")
-    found = []
-    for hop in range(hops + 1):
-        rows = level.join(best.select("query_id", "node_id", "carried"), ["query_id", "node_id"], "left")
-        rows = rows.withColumn("_top", F.greatest(F.coalesce(F.max("activation").over(by_node), F.lit(-1.0)), F.coalesce("carried", F.lit(-1.0))))
-        rows = rows.where(F.col("activation") > F.col("_top"))
-        if most is not None:
-            known = best.groupBy("query_id").agg(F.countDistinct("node_id").alias("_known"))
-            rows = rows.withColumn("_new", (F.col("carried").isNull() & F.col("_top").eqNullSafe(F.lit(-1.0))).cast("int"))
-            rows = rows.join(known, "query_id", "left").withColumn("_before", F.coalesce("_known", F.lit(0)) + F.coalesce(F.sum("_new").over(by_query), F.lit(0))).where(F.col("_before") < most)
-        accepted = rows.select("query_id", "node_id", "activation", "source", "seq")
-        found.append(accepted.select("query_id", "node_id", "activation", F.lit(hop).alias("hop"), "source", "seq"))
-        if hop == hops:
-            break
-        now = accepted.groupBy("query_id", "node_id").agg(F.min("seq").alias("_visit"))
-        pushed = accepted.join(edges, F.col("node_id") == F.col("src"))
-        pushed = pushed.join(expanded.select("query_id", F.col("node_id").alias("dst")), ["query_id", "dst"], "left_anti")
-        pushed = pushed.join(now.select("query_id", F.col("node_id").alias("dst"), "_visit"), ["query_id", "dst"], "left").where(F.col("_visit").isNull() | (F.col("_visit") > F.col("seq")))
-        value = F.col("activation") * decay * F.col("weight")
-        pushed = pushed.withColumn("_p", value).where(F.col("_p") >= threshold).withColumn("_p", F.col("_p") * F.col("factor")).where(F.col("_p") >= threshold)
-        after = F.least(F.lit(1.0), F.col("_p") + (bonus if bonus is not None else F.lit(0.0)))
-        order = Window.partitionBy("query_id").orderBy("seq", F.desc("weight"), "dst")
-        level = pushed.select("query_id", F.col("dst").alias("node_id"), F.round(after, 9).alias("activation"), F.col("src").alias("source"), F.row_number().over(order).cast("long").alias("seq"))
-        expanded = expanded.unionByName(now.select("query_id", "node_id"))
-        last = reduce(DataFrame.unionByName, found)
-        best = last.groupBy("query_id", "node_id").agg(F.max_by("activation", F.struct("hop", "seq")).alias("carried"))
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("query_id", "node_id").agg(F.max_by(F.struct("activation", "hop", "source"), F.struct("hop", "seq")).alias("_b")).select("query_id", "node_id", "_b.*")

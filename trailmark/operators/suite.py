@@ -18,8 +18,8 @@ def run(cases: DataFrame, nodes: DataFrame, edges: DataFrame, mode: str, k: int
     found, after = modes.search_in_turn(cases.select("graph_id", "query_id", "text", order), nodes, edges, how, order, k, hops)
     found = search.Found(storage.keep(found.paths, "paths"), storage.keep(found.trace, "traces"))
     each = (time.time() - began) * 1000 / max(1, cases.count())
-    seen = benchmark.surfaced(found, after, edges)
-    return benchmark.judge(cases, seen, after).withColumn("mode", F.lit(mode)).withColumn("latency_ms", F.lit(round(each, 3)))
+    seen = storage.keep(benchmark.surfaced(found, storage.keep(after, "after"), edges), "surfaced")
+    return storage.keep(benchmark.judge(cases, seen, after).withColumn("mode", F.lit(mode)).withColumn("latency_ms", F.lit(round(each, 3))), "reports")
 
 
 def run_palace(cases: DataFrame, memories: DataFrame, spaces: DataFrame, links: DataFrame, policy: palace.Policy) -> DataFrame:
@@ -39,7 +39,8 @@ def run_palace(cases: DataFrame, memories: DataFrame, spaces: DataFrame, links:
     seen = benchmark.surfaced(search.Found(told, trace), nodes, links, top, routes).drop("_snapshot")
     every = benchmark.trace_steps(snapshot, benchmark.Q).withColumnRenamed("_trace", "_snapshot")
     seen = seen.join(every, benchmark.Q, "left")
-    return benchmark.judge(cases, seen, nodes.withColumn("state", F.col("lifecycle_state"))).withColumn("mode", F.lit(f"palace_{policy.mode}")).withColumn("latency_ms", F.lit(round(each, 3)))
+    judged = benchmark.judge(cases, seen, nodes.withColumn("state", F.col("lifecycle_state")))
+    return storage.keep(judged.withColumn("mode", F.lit(f"palace_{policy.mode}")).withColumn("latency_ms", F.lit(round(each, 3))), "reports")
 
 
 def run_suite(cases: DataFrame, nodes: DataFrame, edges: DataFrame, names: list[str] | None = None, k: int = 3, hops: int = 2, order: str = "ord") -> tuple[DataFrame, DataFrame, DataFrame]:

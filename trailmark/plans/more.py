@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import text
 from trailmark.operators import evaluate, plan, recall, state
-from trailmark.plans.queries import _CLAUSE, _CLAUSE_SQL, _EMB, _LEX, _ROLE, _TOKENS, LIFECYCLE_FOLD, _asked, _like, _read
-from trailmark.sources import sectioned
+from trailmark.plans.queries import _EMB, _LEX, _TOKENS, LIFECYCLE_FOLD, _asked, _read
 
 
 def line_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,36 +23,6 @@ e as (select doc_id, unnest(generate_series(cast(1 as bigint), n - 1)) as src fr
 select *, 'next_unit' as edge_type, 0.85::double as weight, true as bidirectional from u"""
 
 
-# without its first word, which is a cue that would come before all others
-_PLAIN, _PLAIN_SQL = _CLAUSE.replace("'If the '", "'The '"), _CLAUSE_SQL.replace("'If the '", "'The '")
-
-
-def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clause for each priority and status of orders, numbered by their names; a table bounded by the number of kinds."""
-    o = _read(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.min("o_orderkey").alias("o_orderkey"))
-    n = o.select(F.concat_ws(":", "o_orderpriority", "o_orderstatus").alias("node_id"), F.expr(_PLAIN).alias("content")).withColumn("ord", F.col("node_id"))
-    return n.withColumn("role", text.semantic_role(F.col("content"), F.lit("clause")))
-
-
-def semantic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sectioned.semantic_edges(_kinds(spark, sf_dir), "contract")
-
-
-_RULE = "case " + " ".join(f"when {_like('low', cues)} then '{kind}'" for kind, cues, _ in sectioned.PACKS["contract"].rules) + " end"
-_EDGES = f"""o as (select o_orderpriority, o_orderstatus, min(o_orderkey) as o_orderkey from orders group by all), c as (select o_orderpriority || ':' || o_orderstatus as id, {_PLAIN_SQL} as text from o),
-p as (select id, lower(text) as low, {_TOKENS} as t from c), b as (select *, {_RULE} as edge_type, {_ROLE} as role from p),
-e as (select l.id as src, r.id as dst, l.edge_type, 0.7::double as weight, l.edge_type = 'exception_to' as bidirectional, l.role as src_role, r.role as dst_role from b l join b r on r.id < l.id and l.edge_type is not null and len(list_intersect(l.t, r.t)) >= 2)"""
-SEMANTIC_EDGES = f"with {_EDGES} select src, dst, edge_type, weight, bidirectional from e"
-
-
-def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _kinds(spark, sf_dir)
-    return sectioned.contradictions(recall.both_ways(sectioned.semantic_edges(n, "contract")), n)
-
-
-CONTRADICTION_PAIRS = f"with {_EDGES}, x as (select src, dst, src_role as role from e where bidirectional union all select dst, src, dst_role from e where bidirectional) select dst as left_id, src as right_id from x where role = 'exception'"
-
-
 def seed_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.fuse_seeds(*_asked(spark, sf_dir), 5)
 
@@ -189,6 +158,6 @@ def replay_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPLAY_PATHS = """with r as (select o_orderkey, c_custkey, c_nationkey, starts_with(o_orderpriority, '1') and o_orderstatus <> 'P' as turned from orders join customer on o_custkey = c_custkey)
 select o_orderkey, case when turned then c_nationkey || '>' || c_custkey || '>' || o_orderkey else o_orderkey || '>' || c_custkey || '>' || c_nationkey end as path, not turned or c_nationkey = o_orderkey as in_order from r"""
 
-_ALL = [line_graph, semantic_edges, contradiction_pairs, seed_fusion, space_rank, route_plan, rank_fusion, policy_fold, matched_ranks, mode_compare, hit_rates, top_terms, replay_paths]
+_ALL = [line_graph, seed_fusion, space_rank, route_plan, rank_fusion, policy_fold, matched_ranks, mode_compare, hit_rates, top_terms, replay_paths]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

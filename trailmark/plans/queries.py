@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import scores, text
-from trailmark.operators import evaluate, recall, state
+from trailmark.operators import evaluate, graph, recall, state
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +55,19 @@ HASH_EMBEDDING_TOPK = f"with {_EMB} select query_id, node_id, score, row_number(
 
 
 def hybrid_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recall.hybrid_seeds(*_asked(spark, sf_dir), 3)
+    """The three best by cosine and the three best by overlap, a document of both by its larger score."""
+    one = F.lit(0).cast("long").alias("graph_id")
+    queries = _read(spark, sf_dir, "benchmark").select(one, F.col("item_id").alias("query_id"), "text")
+    nodes = _read(spark, sf_dir, "documents").select(one, F.col("doc_id").alias("node_id"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("content"))
+    found = graph.seeds(queries, nodes, graph.similarities(queries, nodes), 3)
+    return found.select("query_id", "node_id", F.col("similarity").alias("score"), F.col("seed").alias("rank"))
 
 
 HYBRID_SEEDS = f"""with {_LEX}, {_EMB},
-h as (select query_id, node_id, coalesce(emb.score, 0.0) as c, greatest(coalesce(emb.score, 0.0), coalesce(lex.score, 0.0)) as m from emb full join lex using (query_id, node_id)),
-a as (select query_id, node_id, c as score from h qualify row_number() over (partition by query_id order by c desc, node_id) <= 3),
-b as (select query_id, node_id, m as score from h qualify row_number() over (partition by query_id order by m desc, node_id) <= 3)
-select query_id, node_id, max(score) as score from (select * from a union all select * from b) group by query_id, node_id"""
+h as (select query_id, node_id, emb.score as c, coalesce(lex.score, 0.0) as l from emb left join lex using (query_id, node_id) union all select item_id, doc_id, 0, 0 from benchmark, (select doc_id from documents order by doc_id limit 3) where (item_id, doc_id) not in (select query_id, node_id from emb)),
+r as (select *, row_number() over (partition by query_id order by c desc, node_id) as rc, row_number() over (partition by query_id order by l desc, node_id) as rl from h),
+s as (select query_id, node_id, case when rc > 3 then greatest(c, l) when rl > 3 then c else greatest(c, l) end as score, case when rc <= 3 then rc else 3 + rl end as p from r where rc <= 3 or rl <= 3)
+select query_id, node_id, score, row_number() over (partition by query_id order by score desc, p) as rank from s"""
 
 
 def recall_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,36 +178,6 @@ f as (select distinct user_id, cast(0 as bigint) as i, 'encoded' as state, cast(
 select f.user_id, state, c as count, s as stability, d as decay from f join (select distinct user_id, n from e) x on x.user_id = f.user_id and x.n = f.i"""
 
 
-def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer -> nation -> region as a graph; ids apart by table."""
-    c, n = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "nation")
-    up = c.select(F.col("c_custkey").alias("src"), (F.col("c_nationkey") + F.lit(10**12)).cast("long").alias("dst"), F.lit(0.8).alias("weight"))
-    return up.unionByName(n.select((F.col("n_nationkey") + F.lit(10**12)).cast("long").alias("src"), (F.col("n_regionkey") + F.lit(2 * 10**12)).cast("long").alias("dst"), F.lit(0.7).alias("weight")))
-
-
-_STAR = """g as (select c_custkey as src, c_nationkey + 1000000000000 as dst, 0.8::double as weight from customer union all select n_nationkey + 1000000000000, n_regionkey + 2000000000000, 0.7::double from nation)"""
-
-
-def path_search_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("node_id"))
-    p = recall.simple_paths(seeds, _star(spark, sf_dir), 2)
-    return p.select("query_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "weight", (F.size("path") - 1).cast("long").alias("hops"))
-
-
-PATH_SEARCH_2HOP = f"""with {_STAR}, s as (select c_custkey as q from customer), a as (select q, dst, weight from s join g on src = q), b as (select q, a.dst as mid, g.dst, round(a.weight * g.weight, 9) as weight from a join g on g.src = a.dst and g.dst <> q)
-select q as query_id, q::varchar as path, 1.0::double as weight, 0::bigint as hops from s union all select q, q || '>' || dst, weight, 1 from a union all select q, q || '>' || mid || '>' || dst, weight, 2 from b"""
-
-
-def activation_spread_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("node_id"), F.lit(0.9).alias("activation"))
-    return recall.spread(seeds, _star(spark, sf_dir).withColumn("factor", F.lit(1.0)), 2).select("query_id", "node_id", "activation", F.col("hop").cast("long").alias("hop"), "source")
-
-
-ACTIVATION_SPREAD_2HOP = f"""with {_STAR}, s as (select c_custkey as q, 0.9::double as x from customer), a as (select q, dst, q as src, round(x * 0.75 * weight, 9) as x from s join g on src = q where x * 0.75 * weight >= 0.15),
-b as (select q, g.dst, a.dst as src, round(a.x * 0.75 * weight, 9) as x from a join g on g.src = a.dst where a.x * 0.75 * weight >= 0.15)
-select q as query_id, q as node_id, x as activation, 0::bigint as hop, null::bigint as source from s union all select q, dst, x, 1, src from a union all select q, dst, x, 2, src from b"""
-
-
 def bucket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rates overall, by language and by source, of documents labelled good."""
     rows = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id").select("lang", "source", F.col("quality").cast("double").alias("hit"))
@@ -213,19 +188,6 @@ def bucket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUCKET_SUMMARY = "select lang, source, count(*) as cases, round(avg(quality::double), 6) as hit_rate from labels join documents using (doc_id) group by grouping sets ((), (lang), (source))"
 
 
-def consolidation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses of a scenario and customer's nation: of each group of two or more, up to six by weight, with mean salience."""
-    n = clause_nodes(spark, sf_dir).join(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), "o_custkey"), "node_id").join(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("space_id")), "o_custkey")
-    n = n.select("space_id", "node_id", "weight", "importance", "risk", F.explode(F.split("scenario_tags", ",")).alias("scenario")).where("scenario <> ''")
-    w = Window.partitionBy("space_id", "scenario")
-    n = n.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("weight"), "node_id"))).where("size >= 2 and r <= 6")
-    return n.groupBy("space_id", "scenario").agg(F.max("size").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("node_id")), lambda x: x.cast("string")), ",").alias("members"), F.round(F.least(F.lit(1.0), F.avg("importance") + 0.08), 9).alias("importance"), F.round(F.avg("risk"), 9).alias("risk"))
-
-
-CONSOLIDATION_GROUPS = f"""with {_NODES}, x as (select cast(c_nationkey as bigint) as space_id, node_id, weight, importance, risk, unnest(string_split(scenario_tags, ',')) as scenario from weighed join orders on o_orderkey = node_id join customer on c_custkey = o_custkey),
-y as (select *, count(*) over w as size, row_number() over (w order by weight desc, node_id) as r from x where scenario <> '' window w as (partition by space_id, scenario))
-select space_id, scenario, max(size) as size, array_to_string(list_sort(list(node_id)), ',') as members, round(least(1.0, avg(importance) + 0.08), 9) as importance, round(avg(risk), 9) as risk from y where size >= 2 and r <= 6 group by space_id, scenario"""
-
-_ALL = [token_stats, lexical_topk, hash_embedding_topk, hybrid_seeds, recall_ndcg, dense_cosine_topk, clause_nodes, weighted_scores, session_palace, session_links, lifecycle_fold, path_search_2hop, activation_spread_2hop, bucket_summary, consolidation_groups]
+_ALL = [token_stats, lexical_topk, hash_embedding_topk, hybrid_seeds, recall_ndcg, dense_cosine_topk, clause_nodes, weighted_scores, session_palace, session_links, lifecycle_fold, bucket_summary]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

@@ -26,7 +26,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     bad = F.lit(False)
     for c in ("dataset_id", "dataset_name", "domain_pack_name", "document_directory"):
         bad = bad | blank(F.col(c))
-    rows = rows.withColumn("dataset_id", F.when(bad | (F.size(F.coalesce("cases", F.array().cast(rows.schema["cases"].dataType))) == 0), F.raise_error(F.lit("a dataset needs its names and cases")).cast("string")).otherwise(F.col("dataset_id")))
+    kind = rows.schema["cases"].dataType
+    bad = bad | (F.size(F.coalesce("cases", F.array().cast(kind))) == 0)
+    rows = rows.withColumn("cases", F.when(bad, F.raise_error(F.lit("a dataset needs its names and cases")).cast(kind)).otherwise(F.col("cases")))
     rows = rows.select("dataset_id", "dataset_name", "domain_pack_name", "document_directory", F.posexplode("cases").alias("ord", "c")).select("*", "c.case_id", "c.query", "c.tags", "c.expectation.*").drop("c")
     least = F.coalesce("minimum_evidence_matches", F.lit(1))
     wrong = blank(F.col("case_id")) | blank(F.col("query")) | F.col("evidence_node_ids").isNull() | (F.size("evidence_node_ids") == 0) | (least < 1) | (least > F.size("evidence_node_ids"))

@@ -144,9 +144,3 @@ def semantic_edges(built: DataFrame, pack_name: str, shared: int = 2) -> DataFra
     words = lambda c: rows.select(*key, F.col("node_id").alias(c), F.col("_t").alias(f"_{c}"))
     kept = met.join(words("src"), [*key, "src"]).join(words("dst"), [*key, "dst"]).where(F.size(F.array_intersect("_src", "_dst")) >= shared)
     return kept.select(*key, "src", "dst", "edge_type", F.lit(0.7).alias("weight"), F.col("edge_type").isin([r[0] for r in rules if r[2]]).alias("bidirectional"))
-
-
-def contradictions(edges: DataFrame, built: DataFrame) -> DataFrame:
-    """(left_id, right_id): exception_to edges, reverse ones too, from an exception (right) to what it overrides (left)."""
-    right = built.where("role = 'exception'").select(F.col("node_id").alias("src"))
-    return edges.where("edge_type = 'exception_to'").join(right, "src", "left_semi").select(F.col("dst").alias("left_id"), F.col("src").alias("right_id"))
