@@ -107,6 +107,47 @@ def test_warc_round_trip(spark, docs, tmp_path):
             warc.parse(bad)
 
 
+def foreign(kind, block, **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:0000>", "WARC-Date": "2020-01-01T00:00:00Z", **fields, "Content-Length": len(block)}
+    return "\r\n".join(["WARC/1.0", *(f"{k.replace('_', '-')}: {v}" for k, v in head.items())]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reads_records_of_others(spark):
+    body = b"some body " * 30
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"a;x=y\r\n" + body[:10] + b"\r\n" + b"%x\r\n" % (len(body) - 10) + body[10:] + b"\r\n0\r\n\r\n"
+    bare = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    records = [foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"), foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"), foreign("response", chunked, WARC_Payload_Digest="sha1:" + warc.sha1_base32(body)), foreign("response", bare), foreign("metadata", b"a: b"), foreign("resource", body, Content_Type="text/plain"), foreign("revisit", b"", WARC_Refers_To="<urn:uuid:1>"), foreign("response", chunked.replace(b"a;x=y", b"zz"))]
+    archive = spark.createDataFrame([(bytearray(warc.pack(records)),)], "content binary")
+    got = warc.read_archives(archive).collect()
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "metadata", "resource", "revisit", None]
+    assert [bytes(r["payload"]) for r in got[2:6]] == [body, body, b"a: b", body] and got[6]["refers_to_id"] == "<urn:uuid:1>" and got[0]["record_id"] == "<urn:uuid:0000>"
+    assert [r["error"] for r in got] == [None] * 7 + ["a chunk without a size"] and all(r["page_id"] is None for r in got)
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse(foreign("response", bare, WARC_Payload_Digest="sha1:" + warc.sha1_base32(b"x")))
+
+
+def test_warc_of_nothing_and_of_much(spark, tmp_path):
+    kind = "page_id long, url string, html string, holder string, _row long"
+    assert warc.read_archives(warc.write_archives(spark.createDataFrame([], kind))).count() == 0
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(9 << 20))
+    pages = spark.createDataFrame([(1, "u", long, "h", 5), (2, "u", long, "h", 5), (3, "u", "short", "h", 5), (3, "u", "short", "h", 5), (None, "u", "short", "h", 5)], kind)
+    archives = warc.write_archives(pages)
+    got = warc.read_archives(archives).collect()
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == [("1", "revisit", 2, len(long)), ("2", "response", None, len(long)), ("3", "response", None, 5), ("3", "revisit", 3, 5), ("None", "revisit", 3, 5)]
+    warc.export_archives(archives, tmp_path.as_uri())
+    warc.export_archives(archives, tmp_path.as_uri())
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(str(tmp_path))
+    assert files.count() == archives.count() and warc.read_archives(files, payloads=False).where("error is null").count() == 5
+
+
+def test_document_frequencies_are_of_all_rows(spark):
+    texts = ["abc abd", "abc", "", None, "12", "abc abc"]
+    n, df = langid.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = sum((langid.counts(t) > 0).astype(int) for t in ("abc abd", "abc", "abc abc"))
+    assert n == 3 and (df == want).all()
+
+
 def test_language_ids(spark, empty):
     make = {"aa": "abcd", "bb": "wxyz"}
     rng = random.Random(1)
@@ -244,6 +285,114 @@ def test_near_dedup_stage_finds_copies_of_similarity_08(spark):
     assert got == {i for i, _ in made if i % 10 != 1}
 
 
+STAGED = "doc_id long, text string, lang string, source string, n_chars long, bucket string"
+
+
+def test_language_and_substring_stages(spark):
+    """Each stage on rows with nulls, empties, repeats, null ids and an extra column, against brute force."""
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    parts = {"aa": "the and ing er on at is".split(), "bb": "der und ung sch ein ich en".split()}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, 60), lang, "s", 0, "b") for i, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [rows[3], (None, text("aa", 60), None, "s", 0, "b"), (900, None, "aa", "s", 0, "b"), (901, "", "aa", "s", 0, "b"), (902, "12 34 ...", None, "s", 0, "b"), (903, "\u0434\u043e\u043c " * 60, None, "s", 0, "b")]
+    d = spark.createDataFrame(rows, STAGED)
+    got = corpus_pipeline.language_id(spark, d, "").collect()
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in got)
+    assert kept[3, rows[3][1]] == 2 and all((i, None if t is None else t) not in kept for i, t, *_ in rows if i in (900, 901, 902, 903))
+    assert sum(kept.values()) >= 118 and [r["lang"] for r in got if r["doc_id"] is None] == ["aa"]
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one " + shared + " two", "aa", "s", 5, "b"), (2, "three  " + shared + " four", "aa", "s", 6, "b"), (None, shared, "aa", "s", 7, "b"), (4, "short", "aa", "s", 8, "b"), (5, None, "aa", "s", 9, "b"), (5, "short", "aa", "s", 9, "b")]
+    d = spark.createDataFrame(rows, STAGED)
+    got = corpus_pipeline.substring_dedup(spark, d, "").collect()
+    # the null id comes last, so it loses its whole text and goes; texts that lose nothing stay as they are
+    assert sorted((str(r["doc_id"]), r["text"], r["n_chars"]) for r in got) == sorted([("1", rows[0][1], 5), ("2", "three four", 10), ("4", "short", 8), ("5", None, 9), ("5", "short", 9)], key=lambda x: (x[0], str(x[1])))
+
+
+def test_decontamination_and_packing_stages(spark, tmp_path):
+    import corpus_pipeline
+    import tokenizers
+
+    item = "the train to the big city leaves with 12 boxes and 13 tons of rope from near the old harbour wall"
+    rows = [(1, "before it. " + item, "aa", "s", 0, "b"), (1, "a clean row of the same id", "aa", "s", 0, "b"), (None, item, "aa", "s", 0, "b"), (None, "clean without an id", "aa", "s", 0, "b"), (4, None, "aa", "s", 0, "b"), (5, "", "aa", "s", 0, "b"), (6, "x " * 9000, "aa", "s", 0, "b"), (6, "x " * 9000, "aa", "s", 0, "b")]
+    d = spark.createDataFrame(rows, STAGED)
+    spark.createDataFrame([(10, item, "x"), (None, "never read", "x")], "item_id long, text string, doc_id string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.benchmark_decontamination(spark, d, str(tmp_path))
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(i, t) for i, t, *_ in rows if not (t and item in t)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    pieces = corpus_pipeline.packing_stage(spark, got, "").collect()
+    t = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
+    assert sum(r["length"] for r in pieces) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in want)
+    assert collections.Counter(r["doc_id"] for r in pieces if r["start"] == 0)[6] == 2
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    parts = "the and ing er on at is".split()
+    text = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(80), "aa", "s", 0) for i in range(60)]
+    rows += [(100, rows[0][1], "aa", "s", 0), (101, None, "aa", "s", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, rows[5][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 100 not in got and 101 not in got and 5 not in got and len(got) >= 57
+
+
+def test_language_id_of_held_out_rows(spark):
+    """Learned from some rows, held against others; extra columns, repeats and a very long text change nothing."""
+    parts = {"aa": "the and ing er on at is".split(), "bb": "der und ung sch ein ich en".split()}
+    rng = random.Random(14)
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, rng.choice([5, 30, 200])), lang, "x", 0.5, True) for i, lang in enumerate(["aa", "bb"] * 150)]
+    rows += [rows[0], rows[0], (900, text("bb", 200_000), "bb", "x", 0.5, True), (901, "", None, "x", 0.5, True)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, rejected boolean")
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in rows}
+    model = langid.fit(d.where(langid.fold_column("doc_id", 3) != 1))
+    got = [r for r in langid.identify(d, model, ["doc_id", "lang"]).collect() if held[r["doc_id"]] and r["lang"]]
+    assert len(got) > 80 and sum(r["lang_pred"] == r["lang"] for r in got) >= 0.98 * len(got)
+    assert langid.identify(d, model, ["doc_id"]).where("doc_id = 0").count() == 3
+    assert [r["lang_pred"] for r in langid.identify(d, model, ["doc_id"]).where("doc_id = 900").collect()] == ["bb"]
+
+
+def test_nearest_centroid_equals_brute_force(spark):
+    """Predictions are the centroid with the largest cosine, computed one text at a time."""
+    rng = random.Random(15)
+    made = [(i, " ".join("".join(rng.choice("abcdefg"[k:] + "xyz") for _ in range(4)) for _ in range(20)), f"l{k}") for i, k in enumerate([0, 3] * 40)]
+    model = langid.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    names, score, _ = model.predict([t for _, t, _ in made])
+    for (_, t, _), name, s in zip(made, names, score):
+        v = np.log1p(langid.counts(t).astype(np.float64)) * model.idf
+        near = model.centroids @ (v / np.linalg.norm(v))
+        assert model.languages[int(near.argmax())] == name and s == pytest.approx(min(1, near.max()), abs=1e-4)
+
+
+def test_quality_of_held_out_rows_and_the_prior(spark, empty):
+    """Scores of rows that no label was learned from; a very long text, empties, repeats, ties and extra columns."""
+    rng = random.Random(16)
+    good = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + rng.choice(["", "s", "ed"]) for _ in range(n))
+    bad = lambda n: " ".join(rng.choice(["win", "cash", "now", "click", "free"]) + rng.choice(["", "s", "ed"]) for _ in range(n))
+    rows = [(i, good(40) if i % 5 else bad(40), "x", 0.5) for i in range(600)]
+    d = spark.createDataFrame([*rows, rows[1], rows[1], (900, good(200_000), "x", 0.5), (901, None, "x", 0.5), (902, "", "x", 0.5), (None, good(30), "x", 0.5)], "doc_id long, text string, quality string, score double")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), "t") for i in range(0, 600, 2)] + [(2, 1, "t")], "doc_id long, quality int, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score(d, quality.fit(d, labels)).collect()}
+    held = [i for i in range(1, 600, 2)]
+    assert sum((got[i] >= quality.THRESHOLD) == (i % 5 > 0) for i in held) >= 0.97 * len(held)
+    pos, neg = [got[i] for i in held if i % 5], [got[i] for i in held if not i % 5]
+    assert sum(p > n for p in pos for n in neg) >= 0.99 * len(pos) * len(neg)
+    assert got[900] > 0.5 and got[901] == got[902] and 0 <= got[902] <= 1
+    only = quality.fit(d, labels.where("quality = 1"))
+    assert only.prior == pytest.approx(0.8, abs=0.12)
+    assert quality.score(empty, only).count() == 0 and quality.fit(empty, labels) is None
+    # a bound is a bound, also where one text is all there is
+    same = spark.createDataFrame([(None, "copy")] * 500, "doc_id long, text string")
+    assert quality.sampled(same, 50, 1).count() <= 50
+
+
 def test_quality(spark, empty):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(40)) + "."
@@ -382,3 +531,23 @@ def test_preferences(spark):
     assert [r["chosen_completion"][s["begin"] : s["end"]] for s in r["chosen_spans"]] == ["yes"]
     assert [r["rejected_completion"][s["begin"] : s["end"]] for s in r["rejected_spans"]] == ["no"]
     assert preferences.swapped_replies(t.limit(0)).count() == 0
+
+
+def test_preferences_of_equal_tied_and_long_conversations(spark):
+    rng = random.Random(17)
+    turns = [(1, i, rng.choice(["user", "assistant", "sys<|tem|>"]), f"turn {i} <|end|>", "x") for i in range(300)] + [(1, 300, "assistant", "last", "x")]
+    turns += [(2, 0, "user", "q", "x"), (2, 1, "assistant", "same", "x"), (3, 0, "user", "q", "x"), (3, 1, "assistant", "same", "x"), (2, 1, "assistant", "same", "y")]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, chosen string")
+    pairs = preferences.preference_pairs(preferences.swapped_replies(t), ["chosen_id", "rejected_id"]).collect()
+    got = {r["chosen_id"]: r for r in pairs}
+    assert set(got) == {1, 2, 3}
+    own = sorted((i, r, x) for c, i, r, x, _ in turns if c == 1)
+    whole = got[1]["prompt"] + got[1]["chosen_completion"]
+    assert whole.count("<|end|>") == len(own)
+    for side in ("chosen", "rejected"):
+        for r in pairs:
+            for s in r[f"{side}_spans"]:
+                assert "<|" not in r[f"{side}_completion"][s["begin"] : s["end"]]
+    # the next reply is the same one: nothing is preferred, and the spans are empty
+    assert not got[2]["usable"] and got[2]["chosen_completion"] == "" and got[2]["chosen_spans"] == []
+    assert [r["chosen_completion"][s["begin"] : s["end"]] for r in pairs if r["chosen_id"] == 1 for s in r["chosen_spans"]] == ["last"]

@@ -8,8 +8,8 @@ grow with the length of a text, so limits do too: for whole texts and for pieces
 lies halfway between the cosine that all but 5 in 1,000 of the language's own reach and the one that 95 in 100 of the
 other languages' stay under.  With one language only, it is the former.
 
-The centroids are fitted on a bounded sample of labelled rows (``per_language``, ``total``: at most so many rows,
-chosen by a hash of their id); document frequencies are those of the sample.  Every text is read whole.
+Document frequencies are counted over all labelled rows; the centroids and limits are fitted on a bounded sample of them
+(``per_language``, ``total``: at most so many rows, chosen by a hash of id and text).  Every text is read whole.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.  Null or empty labels aren't learned
 from.  With no labelled row at all everything is ``und``.  Repeated rows, null ids and extra columns are harmless.
@@ -114,6 +114,27 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """How many of the texts have a letter, and how many of those hold each n-gram; a task sends a row for each n-gram, added up by Spark."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(DIMENSIONS, np.int64)
+        for batch in slices(batches):
+            for t in column(batch, "text"):
+                if has_letter(t):
+                    n += 1
+                    df += counts(t) > 0
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1)), "n": pa.array(np.append(df[at], n))})
+
+    got = texts.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(DIMENSIONS, np.int64)
+    for r in got:
+        if r["at"] >= 0:
+            df[r["at"]] = r["n"]
+    return sum(r["n"] for r in got if r["at"] < 0), df
+
+
 def fit(labelled: DataFrame, per_language: int = 400, total: int = 4000) -> Model:
     """Learn from labelled (doc_id, text, lang): at most per_language rows of a language and total rows in all."""
     usable = labelled.where("text is not null and lang is not null and lang <> ''").select("doc_id", "text", "lang")
@@ -122,7 +143,7 @@ def fit(labelled: DataFrame, per_language: int = 400, total: int = 4000) -> Mode
     if not sizes:
         return nothing
     bound = max(1, min(per_language, total // len(sizes)))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
+    spread = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, 1.5 * bound / n + 20 / n) * (1 << 30)))])
     sample = usable.where(spread < F.coalesce(share[F.col("lang")], F.lit(0)))
     # the filter has bounded what is ranked
@@ -149,7 +170,8 @@ def fit(labelled: DataFrame, per_language: int = 400, total: int = 4000) -> Mode
         return out
 
     whole = dense(got)
-    model = Model([], (np.log((1 + len(got)) / (1 + (whole > 0).sum(axis=0))) + 1).astype(np.float32), nothing.centroids, nothing.broad, {})
+    texts, df = document_frequencies(usable)
+    model = Model([], (np.log((1 + texts) / (1 + df)) + 1).astype(np.float32), nothing.centroids, nothing.broad, {})
     vectors = model.vectors(whole)
     del whole
     centroids, broad = [], []
@@ -198,8 +220,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(predicted, schema)
 
 
-
-
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(fold_column("doc_id", 3) != 1))

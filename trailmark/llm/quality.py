@@ -5,14 +5,18 @@ of good rows that the labels show (with positive labels only, Elkan and Noto's e
 A logistic model minimises the non-negative unbiased risk: prior * risk(positives, +1) + max(0, risk(unlabelled, -1)
 - prior * risk(positives, -1)); while the second part is negative, steps go against it, as the method prescribes.
 
-Features: shares of the 256 byte values and counts of the text's form (lengths of words and lines, repeats, capitals,
-odd word ends), all from whole texts.  The model is fitted on bounded samples (``positives``, ``unlabelled``: at most so
-many rows, chosen by a hash of the id).  Texts null or empty get the score of an empty text; labels with nulls aren't
-learned from; with no positive label every score is 0.5.  Repeated rows are scored each.
+Features: hashed lower-cased words, by how often they occur, shares of the 256 byte values, and counts of the text's
+form (lengths of words and lines, repeats, capitals, odd word ends), all from whole texts.  The model is fitted on
+bounded samples (``positives``, ``unlabelled``: at most so many rows, chosen by a hash of id and text; both are
+parameters).  The prior is kept within PRIORS, as near 1 the negative part of the risk has nothing to learn from.
+
+Texts null or empty get the score of an empty text; labels with nulls aren't learned from; with no positive label or no
+text every score is 0.5.  Repeated rows are scored each, extra columns aren't read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import column, fold_column, slices
 
 THRESHOLD = 0.3
-FORM = 20
+WORDS = 512
+FORM = 19
+SIZE = WORDS + 256 + FORM
+PRIORS = (0.01, 0.97)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -45,9 +52,11 @@ def features(text: str | None) -> np.ndarray:
         np.log1p(len(words)) / 10, np.log1p(len(raw)) / 12, lengths.mean() / 10, lengths.std() / 10, min(200, lengths.max()) / 50,
         len(tally) / w, top / w, len(lines) / w, len(line_tally) / len(lines), max(line_tally.values()) / len(lines),
         odd.mean(), ((starts >= 65) & (starts <= 90)).mean(), ((starts >= 48) & (starts <= 57)).mean(), share[65:91].sum(), share[48:58].sum(),
-        share[33:48].sum() + share[58:65].sum() + share[91:97].sum() + share[123:127].sum(), share[128:].sum(), np.sqrt(share[33]) + np.sqrt(share[124]), (share[:32].sum() - share[10]), float(not words),
+        share[33:48].sum() + share[58:65].sum() + share[91:97].sum() + share[123:127].sum(), share[128:].sum(), (share[:32].sum() - share[10]), float(not words),
     ]
-    return np.concatenate((np.sqrt(share), form)).astype(np.float32)
+    low = Counter(raw.lower().split())
+    said = np.bincount(np.fromiter(map(zlib.crc32, low), np.int64, len(low)) % WORDS, weights=np.fromiter(low.values(), np.float64, len(low)), minlength=WORDS)
+    return np.concatenate((np.sqrt(said / w), np.sqrt(share), form)).astype(np.float32)
 
 
 @dataclass
@@ -62,13 +71,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((rows - self.mean) / self.scale @ self.weights + self.bias, -30, 30)))
 
 
-def minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 1e-3) -> Model:
+def minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Adam on the non-negative risk of a logistic model; p positives, u unlabelled."""
     both = np.concatenate((p, u))
     mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-3)
     clip = lambda x: np.clip((x - mean) / scale, -8, 8)
     p, u = clip(p), clip(u)
-    w, b = np.zeros(p.shape[1]), 0.0
+    w, b = np.zeros(p.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         zp, zu = p @ w + b, u @ w + b
@@ -81,42 +90,54 @@ def minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, rate
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (0.1 ** (t / steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return Model(mean, scale, w, float(b), prior)
 
 
 def _vectors(rows: DataFrame) -> np.ndarray:
+    """Features of rows (_key, text), of which there is a bounded number, in the order of _key; half precision on the way."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "x": pa.array([features(t).tobytes() for t in column(batch, "text")], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"_key": batch.column(0), "x": pa.array([features(t).astype(np.float16).tobytes() for t in column(batch, "text")], pa.binary())})
+
+    got = sorted((r["_key"], bytes(r["x"])) for r in rows.select("_key", "text").mapInArrow(made, "_key long, x binary").collect())
+    return np.stack([np.frombuffer(x, np.float16) for _, x in got]).astype(np.float32) if got else np.zeros((0, SIZE), np.float32)
 
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, x binary").collect()
-    got = sorted(((r["doc_id"] or 0, bytes(r["x"])) for r in got))
-    return np.stack([np.frombuffer(x, np.float32) for _, x in got]).astype(np.float64) if got else np.zeros((0, 256 + FORM))
+
+def sampled(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows (doc_id, text), by a hash of both, as (_key, text): those of the smallest hashes."""
+    n = rows.count()
+    keyed = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)).alias("_key"), "text")
+    # the share bounds what is ordered; the limit what is kept
+    share = min(1.0, 1.2 * most / max(1, n) + 100 / max(1, n))
+    return keyed.where(F.col("_key") < int(share * (1 << 40))).orderBy("_key").limit(most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000) -> Model | None:
     """Learn from labels (doc_id, quality) and from docs at large; None if there is no positive."""
+    docs = docs.select("doc_id", "text")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).where("quality in (0, 1)").collect()}
     good, bad = sizes.get(1, 0), sizes.get(0, 0)
     if not good:
         return None
-    spread = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    share = lambda bound, n: int(min(1.0, bound / max(1, n)) * (1 << 30))
-    ids = known.where("quality = 1").where(spread(11) < share(positives, good)).select("doc_id").orderBy(spread(11), "doc_id").limit(positives)
-    p = _vectors(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
-    n = docs.count()
-    u = _vectors(docs.where(spread(13) < share(unlabelled, n)).select("doc_id", "text"))
+    # ids first, so that only a bounded number meets the texts
+    ids = known.where("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(positives)
+    p = _vectors(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select(F.pmod(F.xxhash64("doc_id", "text", F.lit(12)), F.lit(1 << 40)).alias("_key"), "text").orderBy("_key").limit(positives))
+    u = _vectors(sampled(docs, unlabelled, 13))
     if not len(p) or not len(u):
         return None
-    if bad:
-        prior = good / (good + bad)
-    else:  # Elkan and Noto: how much lower a classifier of labelled against not rates texts at large than held-back positives
-        half = len(p) // 2
-        naive = minimise(p[: max(1, half)], u, 0.5)
-        prior = float(np.clip(naive.score(u).mean() / max(1e-6, naive.score(p[half:]).mean()), 0.05, 0.95))
-    return minimise(p, u, min(prior, 0.97))
+    prior = good / (good + bad) if bad else elkan_noto(p, u)
+    return minimise(p, u, float(np.clip(prior, *PRIORS)))
+
+
+def elkan_noto(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of positives among texts at large: how much lower a classifier of labelled against not rates those than held-back positives."""
+    half = max(1, len(p) // 2)
+    naive = minimise(p[:half], u, 0.5)
+    held = p[half:] if len(p) > half else p
+    return float(naive.score(u).mean() / max(1e-6, naive.score(held).mean()))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

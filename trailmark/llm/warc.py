@@ -3,14 +3,19 @@
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary; each record follows as a frame
 of its own, so records can be read from any offset.  ``write_archives`` turns pages into archives of bounded size,
 ``read_archives`` decodes and validates them: version line, mandatory fields, Content-Length against the block, the
-closing blank lines, and the payload digest.  Archives are rows (archive_id, offset table in the frames, content), so
-Spark's own writers and readers move them by whatever path the cluster uses; ``binaryFile`` frames of real
-``.warc.zst`` files have the same content column and read the same way.
+closing blank lines, and the payload digest.  Archives are rows with a binary column, in the shared folder;
+``export_archives`` makes files of them, and ``binaryFile`` frames of real ``.warc.zst`` files read the same way.  An
+archive is one value, so a file may have 2 GB at most; its records are decoded one at a time.
+
+All kinds of records are read.  Responses, requests and revisits have an HTTP head; a body in chunks is put together;
+others (warcinfo, metadata, resource, conversion) have their block as payload.  Ids that aren't numbers of pages come as
+``record_id`` and ``refers_to_id``, and page_id and refers_to are null.
 
 Of records with equal payloads the one with the largest page_id holds the payload, the others are revisits that refer
 to it.  Null html is an empty payload, a null url is ``about:blank``, a null page_id sorts below every other one and
 is written as ``null``.  Rows that repeat a page_id and a payload: one holds the payload, the others refer to it.
-A record that fails a check is returned with its fault in ``error`` and null fields, never skipped silently.
+Empty tables make no archive; extra columns aren't read.  A record that fails a check is returned with its fault in
+``error`` and null fields, never skipped silently.
 """
 
 from __future__ import annotations
@@ -115,20 +120,51 @@ def parse(data: bytes) -> dict:
         raise ValueError("Content-Length doesn't match the block")
     if rest[-4:] != b"\r\n\r\n":
         raise ValueError("no blank lines at the end")
-    http, sep, payload = rest[:-4].partition(b"\r\n\r\n")
-    found = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
-    if not sep or not found:
-        raise ValueError("no HTTP head")
-    digest, size = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(found[1])
-    if fields["warc-type"] == "response":
-        if len(payload) != size:
-            raise ValueError("the HTTP length doesn't match the payload")
-        if digest and digest != sha1_base32(payload):
-            raise ValueError("the payload digest doesn't match")
-    elif fields["warc-type"] != "revisit" or "warc-refers-to" not in fields:
-        raise ValueError("neither a response nor a revisit that refers to one")
-    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
-    return {"page_id": number(fields["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": number(fields.get("warc-refers-to", "")), "url": fields.get("warc-target-uri"), "payload": payload if fields["warc-type"] == "response" else None}
+    kind, block, digest = fields["warc-type"], rest[:-4], fields.get("warc-payload-digest", "")
+    out = {"record_id": fields["warc-record-id"], "record_type": kind, "refers_to_id": fields.get("warc-refers-to"), "url": fields.get("warc-target-uri"), "payload_digest": digest.removeprefix("sha1:") or None}
+    out |= {"page_id": page_number(out["record_id"]), "refers_to": page_number(out["refers_to_id"] or "")}
+    payload, stated, bodies = block, None, [block]
+    if kind in ("response", "request", "revisit") and fields.get("content-type", "application/http").startswith("application/http"):
+        http, sep, payload = block.partition(b"\r\n\r\n")
+        if not sep and kind != "revisit":
+            raise ValueError("no HTTP head")
+        bodies = [payload]
+        if re.search(rb"(?i)\r\ntransfer-encoding:[^\r]*chunked", http):
+            payload = joined(payload)
+            bodies.append(payload)
+        elif found := re.search(rb"(?i)\r\ncontent-length: *(\d+)", http):
+            stated = int(found[1])
+            if kind != "revisit" and len(payload) != stated and not fields.get("warc-truncated"):
+                raise ValueError("the HTTP length doesn't match the payload")
+    if kind == "revisit":
+        if not out["refers_to_id"] and not digest:
+            raise ValueError("a revisit that refers to nothing")
+        return out | {"payload_bytes": stated, "payload": None}
+    # digests are of the payload as sent or as put together
+    if digest.startswith("sha1:") and not fields.get("warc-truncated") and out["payload_digest"] not in map(sha1_base32, bodies):
+        raise ValueError("the payload digest doesn't match")
+    return out | {"payload_bytes": len(payload), "payload": payload}
+
+
+def page_number(name: str) -> int | None:
+    return int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", name)) else None
+
+
+def joined(body: bytes) -> bytes:
+    """A body sent in chunks, without the marks of the chunks."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            raise ValueError("a chunk without a size")
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if len(body) < end + 4 + n or body[end + 2 + n : end + 4 + n] != b"\r\n":
+            raise ValueError("a chunk is cut off")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
 
 
 def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -139,7 +175,8 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     lowest = -(1 << 63)
     pages = pages.withColumn("_sha", F.sha1(F.col("html").cast("binary"))).withColumn("_key", F.coalesce("page_id", F.lit(lowest)))
-    pages = pages.withColumn("_n", F.octet_length("html")).withColumn("_row", F.monotonically_increasing_id())
+    # rows are numbered once and stored with their numbers, so both sides of the join mean the same rows, whatever is lost
+    pages = materialize(pages.withColumn("_n", F.octet_length("html")).withColumn("_row", F.monotonically_increasing_id()), "pages")
     thin = pages.select("_sha", "_key", "_row", "_n").where(F.col("_n") >= least_bytes)
     many = thin.groupBy("_sha").agg(F.max(F.struct("_key", "_row")).alias("_top"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     salted = many.select("_sha", "_top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
@@ -165,10 +202,31 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return materialize(plan_revisits(pages, least_bytes).mapInArrow(packed, "archive_id long, records long, content binary"), "archives")
 
 
+def export_archives(archives: DataFrame, folder: str) -> None:
+    """A .warc.zst file for each archive, in a folder that pyarrow's file systems reach; a task that runs again writes the same files."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with system.open_output_stream(f"{root}/{name}.warc.zst.part") as f:
+                    f.write(content.as_buffer())
+                system.move(f"{root}/{name}.warc.zst.part", f"{root}/{name}.warc.zst")
+            yield pa.RecordBatch.from_pydict({"archive_id": batch.column(0)})
+
+    archives.select("archive_id", "content").mapInArrow(written, "archive_id long").count()
+
+
+FIELDS_READ = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "record_id": pa.string(), "refers_to_id": pa.string(), "error": pa.string()}
+
+
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of archives' content column (Spark's binaryFile frames fit): fields, payload if asked for, error."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, error string" + ", payload binary" * payloads
-    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "error": pa.string()} | ({"payload": pa.binary()} if payloads else {})
+    kinds = FIELDS_READ | ({"payload": pa.binary()} if payloads else {})
+    schema = ", ".join(f"{k} {({pa.int64(): 'long', pa.binary(): 'binary'}).get(v, 'string')}" for k, v in kinds.items())
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({k: pa.array([r.get(k) for r in rows], kind) for k, kind in kinds.items()})
