@@ -47,39 +47,49 @@ def words(t):
     return (t or "").encode().split()
 
 
-def test_katz_equals_brute_force(docs):
+@pytest.mark.parametrize("parts", [4, 0])
+def test_katz_equals_brute_force(spark, docs, empty, monkeypatch, parts):
+    """With frequent words spread over tables and without."""
+    if not parts:
+        monkeypatch.setattr(katz, "spread_words", lambda docs, tables: {})
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
-    every = [(r[0], [b"end", *[x.lower() for x in words(r[1])], b"END"]) for r in rows()]
-    c1, c2, ch = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, w in every:
-        if not held(i):
-            c1.update(w[1:])
-            c2.update(zip(["B", *w[1:]], w[1:]))
-            ch.update(["B", *w[1:-1]])
-    count = lambda c: [sum(v == r for v in c.values()) for r in range(7)]
-    d1, d2 = katz.discounts(count(c1)), katz.discounts(count(c2))
-    cut = lambda n, d: n * (d[n] if n < 6 else 1)
-    total = sum(c1.values())
-    mass = sum(cut(n, d1) for n in c1.values())
-    over = total if mass < total * (1 - 1e-12) else total + 1
-    p1 = lambda w: cut(c1[w], d1) / over if c1[w] else 1 - mass / over
-    m, s = collections.Counter(), collections.Counter()
-    for (h, w), n in c2.items():
-        m[h] += cut(n, d2)
-        s[h] += p1(w)
+    every = [(r[0], ["B", "B", *[x.lower() for x in words(r[1])], b"END"]) for r in rows()]
+    grams = {n: collections.Counter(tuple(w[i - n + 1 : i + 1]) for i, w in ((i, w) for doc, w in every if not held(doc) for i in range(2, len(w)))) for n in (1, 2, 3)}
+    d = {n: katz.discounts([sum(v == r for v in grams[n].values()) for r in range(7)]) for n in grams}
+    cut = lambda n, c: c * (d[n][c] if c < 6 else 1)
+    total = sum(grams[1].values())
+    left = {n: collections.defaultdict(list) for n in (2, 3)}
+    for n in left:
+        for g, c in grams[n].items():
+            left[n][g[:-1]].append((g[-1], c))
+    memo = {}
 
     def p(h, w):
-        if not ch[h]:
-            return p1(w)
-        o = ch[h] if m[h] < ch[h] * (1 - 1e-12) else ch[h] + 1
-        return cut(c2[h, w], d2) / o if c2[h, w] else (1 - m[h] / o) / (1 - s[h]) * p1(w)
-
-    for h in ["B", *list(ch)[:20]]:
-        assert sum(p(h, w) for w in c1) + p(h, b"unknown") == pytest.approx(1, abs=1e-9)
-    want = sorted((i if i is not None else -1, len(w) - 1, sum(c1[x] > 0 for x in w[1:]), round(sum(math.log10(p(a, b)) for a, b in zip(["B", *w[1:]], w[1:])), 6)) for i, w in every)
+        n = len(h) + 1
+        if n == 1:
+            mass = sum(cut(1, c) for c in grams[1].values())
+            over = total if mass < total * (1 - 1e-12) else total + 1
+            return cut(1, grams[1][w,]) / over if grams[1][w,] else 1 - mass / over
+        if h not in memo:
+            c, mass = sum(x for _, x in left[n][h]), sum(cut(n, x) for _, x in left[n][h])
+            over = c if mass < c * (1 - 1e-12) else c + 1
+            memo[h] = (over, (1 - mass / over) / (1 - sum(p(h[1:], x) for x, _ in left[n][h])) if c else 1.0)
+        over, alpha = memo[h]
+        return cut(n, grams[n][*h, w]) / over if grams[n][*h, w] else alpha * p(h[1:], w)
+
+    for h in [("B", "B"), *list(left[3])[:20]]:
+        assert sum(p(h, w) for (w,) in grams[1]) + p(h, b"unknown") == pytest.approx(1, abs=1e-9)
+    want = sorted((-1 if i is None else i, len(w) - 2, sum(grams[1][x,] > 0 for x in w[2:]), round(sum(math.log10(p(tuple(w[j - 2 : j]), w[j])) for j in range(2, len(w))), 6)) for i, w in every)
     got = katz.score_documents(docs).collect()
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], round(r["score"], 6)) for r in got) == want
     assert {r["train_tokens"] for r in got} == {total}
+    assert katz.score_documents(empty).count() == 0
+
+
+def test_katz_spreads_frequent_words(spark):
+    d = spark.createDataFrame([(i, "often " * 50 + f"rare{i} word{i}") for i in range(200)], "doc_id long, text string")
+    got = katz.spread_words(d, 10)
+    assert got[xxhash.xxh64_intdigest(b"often")] == 10 and len(got) <= 2 * katz.PARTS * 10
 
 
 def test_warc_round_trip(spark, docs, tmp_path):

@@ -1,20 +1,25 @@
-"""Scoring texts by a Katz backoff model of word pairs.
+"""Scoring texts by a Katz backoff model of three words.
 
-P(w | h) is d * c(h w) / c(h) for pairs seen in training, d being the Good-Turing discount of the pair's count, and
-alpha(h) * P(w) for others; P(w) is discounted in the same way, and what it leaves is the probability of an unknown
-word.  alpha(h) = (1 - the mass of h's pairs) / (1 - the P(w) of their words), so P(. | h) sums to exactly one.  A
-history whose counts leave no mass is divided by one count more.  A history never seen has alpha 1.
+P(w | a b) is d * c(a b w) / c(a b) for triples seen in training, d being the Good-Turing discount of the triple's
+count, and alpha(a b) * P(w | b) for others; P(w | b) is the same of pairs and backs off to P(w), which is discounted in
+the same way, and what it leaves is the probability of an unknown word.  alpha(h) = (1 - the mass of h's n-grams) /
+(1 - the lower-order mass of their words), so P(. | h) sums to exactly one.  A history whose counts leave no mass is
+divided by one count more.  A history never seen has alpha 1.  A text begins after two begin marks and has an end token.
 
-Counting and scoring share one pass over the texts.  Batches of documents reduce their tokens to distinct pairs, with
-counts over training documents and, for each pair, the documents that hold it; pairs go to tables partitioned by a
-hash of the history and of a salt from the word, so a frequent history is split, and a frequent pair arrives once a
-batch.
-Each table keeps its pairs and asks two further rounds of tables, partitioned by word and by history, for c(w) and for
-c(h), mass and alpha; these rounds too send a word or history once per table.  Then tables sum the log probabilities of
-their pairs by document.  Words are known by 64-bit hashes.
+Triples (a, b, w) are kept in tables by a hash of b, so the triples of a history (a, b), the pairs of b and everything
+that P(w | a b) backs off to but P(w) lie in one table.  A frequent b is spread over several tables by a hash of w, in
+proportion to its share; there alone sums over histories have to be added up between tables.  Which words are frequent
+is told by a sixteenth of the texts; it decides where triples lie and nothing else.
+
+Batches of documents reduce their tokens to distinct triples, numbered by a dictionary of the batch's words for each
+table, with counts over training documents and, for each triple, the documents that hold it, so a frequent triple
+arrives once a batch.  Tables merge what arrives, from all batches, and ask further rounds for c(w), and for the sums of
+spread b and of spread (a, b).  Then they sum the log probabilities of their triples by document.  Words are known by
+64-bit hashes.
 
 Null texts are empty: one end token.  Null ids count as the empty text in the fold.  Repeated rows are rows: each is
-learned from and scored.  Without training rows every token is unknown, with probability one.
+learned from and scored.  Without training rows every token is unknown, with probability one.  Empty tables give no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +38,9 @@ from .common import column, fold, materialize, materialize_bucketed, slices
 DISCOUNTED = 5
 BATCH_TOKENS = 2_300_000
 TABLE_BYTES = 12 << 20
-#: Over so many tables the pairs of one history are spread, by their words.
-SPREAD = 8
+#: A word with over one token in so many of a table's share is spread over several tables.
+PARTS = 4
+SAMPLED = 16
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 
@@ -99,26 +105,65 @@ def counts_of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2).tolist()
 
 
-def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal keys together, and where each group starts in it."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
     new[:1] = True
     for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.flatnonzero(new)
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def table_of(b: np.ndarray, w: np.ndarray, spread: dict[int, int], tables: int) -> np.ndarray:
+    """The table of triples with the middle word b and the last word w (hashes)."""
+    ways = np.ones(len(b), np.uint64)
+    if spread:
+        names = np.array(sorted(spread), np.uint64)
+        at = np.minimum(np.searchsorted(names, b), len(names) - 1)
+        ways = np.where(names[at] == b, np.array([spread[int(x)] for x in names], np.uint64)[at], ways)
+    return ((mix(b) + mix(w) % ways) % np.uint64(tables)).astype(np.int64)
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def spread_words(docs: DataFrame, tables: int) -> dict[int, int]:
+    """Of each frequent middle word (a hash) over how many tables its triples go; at most 2 * PARTS * tables words.
+
+    A word with a share of 1 / (PARTS * tables) has half of that in batches where it has half of that share, so words
+    that are rarer in a batch need not be sent.
+    """
+    least = 2 * PARTS * tables
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            every = [hashes_of(t) for t in column(batch, "text")]
+            words, n = np.unique(np.append(np.concatenate(every), np.repeat(BEGIN, len(every))), return_counts=True)
+            some = n * least >= n.sum()
+            yield pa.RecordBatch.from_pydict({"word": pa.array(np.append(words[some], np.uint64(0)).view(np.int64)), "n": pa.array(np.append(n[some], 0)), "every": pa.array(np.append(np.zeros(some.sum(), np.int64), n.sum()))})
 
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLED)) == 0)
+    counted = sample.mapInArrow(frequent, "word long, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    total = counted.agg(F.sum("every")).first()[0] or 0
+    hot = counted.where((F.col("n") > 0) & (F.col("n") * least >= total)).collect()
+    return {r["word"] % (1 << 64): max(2, min(tables, -(-r["n"] * PARTS * tables // total))) for r in hot}
 
-SENT = pa.schema([("table", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("h", "hn", "w", "wi", "c", "en", "ed", "et"))])
 
+_BLOBS = ("words", "pb", "pw", "pn", "ta", "tc", "en", "ed", "et")
+SENT = pa.schema([("table", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int64())), *((k, pa.binary()) for k in _BLOBS)])
 
-def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of batches of documents for their tables; under table -1 the documents' ids and lengths."""
+
+def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int, spread: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Distinct triples of batches of documents for their tables; under table -1 the documents' ids and lengths."""
     from pyspark import TaskContext
 
     base, made = TaskContext.get().partitionId() << 32, 0
-    digest = xxhash.xxh64_intdigest
     ids, hashes, held = [], [], 0
 
     def settle() -> pa.RecordBatch:
@@ -137,95 +182,117 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int) -> Iterat
         hashes = []
         distinct, number = np.unique(w, return_inverse=True)
         del w, inner
-        key = np.empty(len(number) - 1, np.uint64)
-        key[1:] = number[:-2]
-        key[0] = key[last[:-1] + 1] = number[-1]
-        key = key << np.uint64(32) | number[:-1].astype(np.uint64)
-        del number
+        number, begin = number[:-1].astype(np.uint32), np.uint32(number[-1])
+        first = np.append(0, last[:-1] + 1)
+        b = np.roll(number, 1)
+        b[first] = begin
+        a = np.roll(b, 1)
+        a[first] = begin
         train = np.fromiter((fold(i, modulus) != 0 for i in ids), bool, len(ids))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)[order]
-        del order
-        # entries: a pair in a document
-        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
-        tf = np.diff(np.append(starts, len(key)))
-        key, doc = key[starts], doc[starts]
-        pair = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        c = np.add.reduceat(np.where(train[doc], tf, 0), pair)
-        key = key[pair]
-        ph, pw = distinct[key >> np.uint64(32)], distinct[key & np.uint64(0xFFFFFFFF)]
-        pt = (mix(mix(ph) + mix(pw) % np.uint64(SPREAD)) % np.uint64(tables)).astype(np.int64)
-        # pairs by table; within one still by history, then word, as hashes ascend with their numbers
-        to = np.argsort(pt, kind="stable")
-        entries = np.diff(np.append(pair, len(doc)))[to]
-        own = np.repeat(pair[to] - (np.cumsum(entries) - entries), entries) + np.arange(len(doc))
+        doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        order = np.lexsort((a, number, b))  # stable, so documents ascend within a triple
+        a, b, w, doc = a[order], b[order], number[order], doc[order]
+        del order, number
+        # entries: a triple in a document
+        starts = _firsts(a, b, w, doc)
+        tf = _sizes(starts, len(doc))
+        a, b, w, doc = a[starts], b[starts], w[starts], doc[starts]
+        triple = _firsts(a, b, w)
+        c = np.add.reduceat(np.where(train[doc], tf, 0), triple)
+        entries = _sizes(triple, len(doc))
+        a, b, w = a[triple], b[triple], w[triple]
+        table = table_of(distinct[b], distinct[w], spread, tables)
+        to = np.argsort(table, kind="stable")  # within a table still by b, w, a
+        own = np.repeat(triple[to] - (np.cumsum(entries[to]) - entries[to]), entries[to]) + np.arange(len(doc))
+        a, b, w, c, table, entries = a[to], b[to], w[to], c[to], table[to], entries[to]
         doc, tf = doc[own], tf[own]
-        first = np.append(0, np.cumsum(entries))
-        pt, ph, pw, c = pt[to], ph[to], pw[to], c[to]
-        del own, to, key, pair
-        cut = np.append(np.flatnonzero(np.concatenate(([True], pt[1:] != pt[:-1]))), len(pt)).tolist()
+        at = np.append(0, np.cumsum(entries))
+        del own, to, triple, starts
+        cut = np.append(_firsts(table), len(table)).tolist()
         rows = {k: [] for k in SENT.names}
 
-        def put(table, own_ids, *blobs):
-            for k, v in zip(SENT.names, (table, part, own_ids, *blobs)):
+        def put(where, own_ids, *blobs):
+            for k, v in zip(SENT.names, (where, part, own_ids, *blobs)):
                 rows[k].append(v)
 
-        put(-1, ids, *[None] * 5, squeeze(n, np.uint32), None, None)
+        put(-1, ids, *[None] * 6, squeeze(n, np.uint32), None, None)
         for x, y in zip(cut, cut[1:]):
-            # pairs are in order of history, then word
-            hh = ph[x:y]
-            hs = np.flatnonzero(np.concatenate(([True], hh[1:] != hh[:-1])))
-            ws, wi = np.unique(pw[x:y], return_inverse=True)
-            e, f = first[x], first[y]
-            put(int(pt[x]), None, squeeze_sorted(hh[hs]), squeeze(np.diff(np.append(hs, len(hh))), np.uint32), squeeze_sorted(ws), squeeze(wi, np.uint32), squeeze(c[x:y], np.uint32), squeeze(entries[x:y], np.uint32), squeeze(doc[e:f]), squeeze(tf[e:f], np.uint32))
+            used = np.unique(np.concatenate((a[x:y], b[x:y], w[x:y])))
+            i, j, k = (np.searchsorted(used, v[x:y]) for v in (b, w, a))
+            pair = _firsts(i, j)
+            e, f = at[x], at[y]
+            put(int(table[x]), None, squeeze_sorted(distinct[used]), squeeze(np.diff(i[pair], prepend=0), np.uint32), squeeze(j[pair], np.uint32), squeeze(_sizes(pair, y - x), np.uint32), squeeze(k, np.uint32), squeeze(c[x:y], np.uint32), squeeze(entries[x:y], np.uint32), squeeze(doc[e:f]), squeeze(tf[e:f], np.uint32))
         ids, held = [], 0
         return pa.RecordBatch.from_pydict(rows, schema=SENT)
 
     for batch in slices(batches):
         for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text")):
-            words = text.encode("utf-8", "replace").lower().split() if text else []
             ids.append(doc_id)
-            hashes.append(np.fromiter(map(digest, words), np.uint64, len(words)))
-            held += len(words) + 1
+            hashes.append(hashes_of(text))
+            held += len(hashes[-1]) + 1
             if held >= BATCH_TOKENS:
                 yield settle()
     if ids:
         yield settle()
 
 
-KEPT = pa.schema([("table", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int64())), ("nn", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("h", "hi", "w", "wi", "wc", "c", "n", "ep", "ed", "et", "parts"))])
+KEPT = pa.schema([("table", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int64())), ("n2", pa.list_(pa.int64())), ("n3", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("words", "pb", "pw", "pn", "ta", "tc", "n", "ep", "ed", "et", "parts"))])
+
+
+class Table:
+    """One table's triples in order of b, w, a: numbers of its words, pairs as runs of triples, b as runs of pairs."""
+
+    def __init__(self, row: dict):
+        self.words = opened_sorted(row["words"])
+        self.pb, self.pw = np.cumsum(opened(row["pb"], np.uint32), dtype=np.int64), opened(row["pw"], np.uint32)
+        self.pn = opened(row["pn"], np.uint32)
+        self.ta, self.tc = opened(row["ta"], np.uint32), opened(row["tc"], np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.pn, dtype=np.int64) - self.pn
+
+    def pairs(self) -> np.ndarray:
+        """The number of each triple's pair."""
+        return np.repeat(np.arange(len(self.pn)), self.pn)
+
+    def pair_counts(self) -> np.ndarray:
+        return np.add.reduceat(self.tc, self.first)
 
 
 def merge(batch: pa.Table) -> pa.Table:
-    """One table's pairs from all batches."""
+    """One table's triples from all batches."""
     rows = batch.to_pylist()
     if rows[0]["table"] == -1:
         out = [{"table": -1, "part": r["part"], "ids": r["ids"], "n": r["en"]} for r in rows]
         return pa.Table.from_pydict({k: [r.get(k) for r in out] for k in KEPT.names}, schema=KEPT)
-    h, w, c, parts, ep, ed, et, pairs = [], [], [], [], [], [], [], 0
-    for r in rows:
-        h.append(np.repeat(opened_sorted(r["h"]), opened(r["hn"], np.uint32)))
-        w.append(opened_sorted(r["w"])[opened(r["wi"], np.uint32)])
-        c.append(opened(r["c"], np.uint32).astype(np.int64))
-        ep.append(np.repeat(np.arange(pairs, pairs + len(h[-1]), dtype=np.uint32), opened(r["en"], np.uint32)))
-        own = opened(r["ed"], np.uint32)
-        ed.append(own)
+    number, words = rows[0]["table"], [opened_sorted(r["words"]) for r in rows]
+    every = np.unique(np.concatenate(words))
+    a, b, w, c, parts, ep, ed, et, triples = [], [], [], [], [], [], [], [], 0
+    for r, own in zip(rows, words):
+        t = Table(r)
+        to = np.searchsorted(every, own).astype(np.uint32)
+        pair = t.pairs()
+        a.append(to[t.ta])
+        b.append(to[t.pb[pair]])
+        w.append(to[t.pw[pair]])
+        c.append(t.tc)
+        ep.append(np.repeat(np.arange(triples, triples + len(pair), dtype=np.uint32), opened(r["en"], np.uint32)))
+        doc = opened(r["ed"], np.uint32)
+        ed.append(doc)
         et.append(opened(r["et"], np.uint32))
-        top = int(own.max()) + 1
-        parts.append((r["part"], top, len(own)))
-        pairs += len(h[-1])
+        parts.append((r["part"], int(doc.max()) + 1, len(doc)))
+        triples += len(pair)
         r.clear()
-    h, w, c, ep, ed, et = map(np.concatenate, (h, w, c, ep, ed, et))
-    order, starts = _group(w, h)
-    number = np.empty(len(h), np.uint32)
-    number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+    del words
+    a, b, w, c, ep, ed, et = map(np.concatenate, (a, b, w, c, ep, ed, et))
+    order = np.lexsort((a, w, b))
+    a, b, w = a[order], b[order], w[order]
+    starts = _firsts(a, b, w)
+    name = np.empty(len(order), np.uint32)
+    name[order] = np.repeat(np.arange(len(starts), dtype=np.uint32), _sizes(starts, len(order)))
     c = np.add.reduceat(c[order], starts)
-    h, w = h[order][starts], w[order][starts]
-    hs, hi = np.unique(h, return_inverse=True)
-    ws, wi = np.unique(w, return_inverse=True)
-    wc = np.bincount(wi, weights=c, minlength=len(ws))
-    row = {"table": rows and batch["table"][0].as_py(), "nn": counts_of_counts(c), "h": squeeze_sorted(hs), "hi": squeeze(np.diff(hi, prepend=0), np.uint32), "w": squeeze_sorted(ws), "wi": squeeze(wi, np.uint32), "wc": squeeze(wc, np.int64), "c": squeeze(c, np.uint32), "ep": squeeze(np.diff(number[ep].astype(np.int64), prepend=0), np.int32), "ed": squeeze(ed), "et": squeeze(et), "parts": squeeze(np.array(parts, np.int64))}
+    a, b, w = a[starts], b[starts], w[starts]
+    pair = _firsts(b, w)
+    c2 = np.add.reduceat(c, pair)
+    row = {"table": number, "n2": counts_of_counts(c2), "n3": counts_of_counts(c), "words": squeeze_sorted(every), "pb": squeeze(np.diff(b[pair].astype(np.int64), prepend=0), np.uint32), "pw": squeeze(w[pair]), "pn": squeeze(_sizes(pair, len(a)), np.uint32), "ta": squeeze(a), "tc": squeeze(c, np.uint32), "ep": squeeze(np.diff(name[ep].astype(np.int64), prepend=0), np.int32), "ed": squeeze(ed), "et": squeeze(et), "parts": squeeze(np.array(parts, np.int64))}
     return pa.Table.from_pydict({k: [row.get(k)] for k in KEPT.names}, schema=KEPT)
 
 
@@ -280,60 +347,132 @@ def ddl(schema: pa.Schema) -> str:
 SUMS = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary()), ("ids", pa.list_(pa.int64())), ("n", pa.binary())])
 
 
+class History:
+    """over and alpha of histories from c, discounted mass and the lower-order mass of their seen words."""
+
+    def __init__(self, c: np.ndarray, mass: np.ndarray, seen: np.ndarray):
+        self.over = np.where(mass < c * (1 - 1e-12), c, c + 1)
+        self.alpha = np.where(c > 0, (1 - mass / self.over) / np.maximum(1 - seen, 1e-300), 1.0)
+
+
+def _sums(starts: np.ndarray, c: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Columns c, mass and seen of each run of n-grams with the counts c; lower: their words' lower-order probabilities."""
+    return np.stack([np.add.reduceat(x, starts) for x in (c.astype(np.float64), discounted(c, d), np.where(c > 0, lower, 0.0))], axis=1)
+
+
+class Round:
+    """What a table can tell at each round, from its own triples and what it has been told."""
+
+    def __init__(self, row: dict, told: list[dict], tables: int, model: Words, d2: np.ndarray, d3: np.ndarray, spread: dict[int, int]):
+        self.t, self.told, self.tables, self.d2, self.d3 = Table(row), told, tables, d2, d3
+        t = self.t
+        self.cw = answers(told, "w", t.words, tables, 1, np.int64)[:, 0]
+        self.c2 = t.pair_counts()
+        self.p1 = model.p(self.cw)[t.pw]
+        self.b = _firsts(t.pb)  # first pair of each b
+        self.hot = np.isin(t.words[t.pb[self.b]], np.array(sorted(spread), np.uint64))
+        self.sums_b = _sums(self.b, self.c2, d2, self.p1)
+
+    def ask_b(self) -> pa.RecordBatch:
+        keys = self.t.words[self.t.pb[self.b]]  # ascending, as numbers of words are
+        return ask(self.t_number, keys[self.hot], self.sums_b[self.hot], self.tables)
+
+    def with_b(self) -> None:
+        """P(w | b) of all pairs."""
+        sums = self.sums_b.copy()
+        if self.hot.any():
+            sums[self.hot] = answers(self.told, "b", self.t.words[self.t.pb[self.b]][self.hot], self.tables, 3, np.float64)
+        h, of = History(*sums.T), np.repeat(np.arange(len(self.b)), _sizes(self.b, len(self.t.pb)))
+        self.p2 = np.where(self.c2 > 0, discounted(self.c2, self.d2) / h.over[of], h.alpha[of] * self.p1)
+        # triples by history: a within b
+        t, pair = self.t, self.t.pairs()
+        self.pair, group = pair, of[pair]
+        self.order = np.lexsort((t.ta, group))
+        self.h = _firsts(group[self.order], t.ta[self.order])
+        first = self.order[self.h]
+        self.hot_h = self.hot[group[first]]
+        self.keys_h = mix(mix(t.words[t.ta[first]]) + t.words[t.pb[pair[first]]])
+        self.sums_h = _sums(self.h, t.tc[self.order], self.d3, self.p2[pair[self.order]])
+
+    def ask_h(self) -> pa.RecordBatch:
+        at = np.argsort(self.keys_h[self.hot_h], kind="stable")
+        return ask(self.t_number, self.keys_h[self.hot_h][at], self.sums_h[self.hot_h][at], self.tables)
+
+    def probabilities(self) -> np.ndarray:
+        """P(w | a b) of all triples."""
+        sums = self.sums_h.copy()
+        if self.hot_h.any():
+            hot = np.flatnonzero(self.hot_h)
+            at = np.argsort(self.keys_h[hot], kind="stable")
+            sums[hot[at]] = answers(self.told, "h", self.keys_h[hot][at], self.tables, 3, np.float64)
+        h = History(*sums.T)
+        of = np.empty(len(self.order), np.int64)
+        of[self.order] = np.repeat(np.arange(len(self.h)), _sizes(self.h, len(self.order)))
+        c = self.t.tc
+        return np.where(c > 0, discounted(c, self.d3) / h.over[of], h.alpha[of] * self.p2[self.pair])
+
+
 def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose fold isn't 0."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tables = max(4, -(-total // TABLE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = rows.mapInArrow(lambda batches: send(batches, tables, modulus), ddl(SENT))
+    spread = spread_words(rows, tables)
+    sent = rows.mapInArrow(lambda batches: send(batches, tables, modulus, spread), ddl(SENT))
     alone = F.when(F.col("table") == -1, F.col("part")).otherwise(0)
-    kept = materialize_bucketed(sent.groupBy("table", alone.alias("_")).applyInArrow(lambda t: merge(t), ddl(KEPT)), "katz-pairs", "table", tables)
-    pairs = kept.where("table >= 0")
-    nn = pairs.select([F.sum(F.element_at("nn", i + 1)).alias(f"n{i}") for i in range(DISCOUNTED + 2)]).first()
-    d2 = discounts([x or 0 for x in nn])
+    kept = materialize_bucketed(sent.groupBy("table", alone.alias("_")).applyInArrow(lambda t: merge(t), ddl(KEPT)), "katz-triples", "table", tables)
+    triples = kept.where("table >= 0")
+    nn = triples.select(*[F.sum(F.element_at(c, i + 1)).alias(f"{c}_{i}") for c in ("n2", "n3") for i in range(DISCOUNTED + 2)]).first()
+    d2, d3 = (discounts([nn[f"{c}_{i}"] or 0 for i in range(DISCOUNTED + 2)]) for c in ("n2", "n3"))
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield ask(r["table"], opened_sorted(r["w"]), opened(r["wc"], np.int64), tables)
+                t = Table(r)
+                counts = np.bincount(t.pw, weights=t.pair_counts(), minlength=len(t.words)).astype(np.int64)
+                yield ask(r["table"], t.words, counts, tables)
 
-    words = materialize(pairs.select("table", "w", "wc").mapInArrow(ask_words, ddl(ASKED)).groupBy("to").applyInArrow(teller("w", 1, np.int64), ddl(TOLD)), "katz-words")
+    shape = ["table", "words", "pb", "pw", "pn", "ta", "tc"]
+    words = materialize(triples.select(*shape).mapInArrow(ask_words, ddl(ASKED)).groupBy("to").applyInArrow(teller("w", 1, np.int64), ddl(TOLD)), "katz-words")
     n = words.where("kind = 'n'").select([F.sum(F.element_at("nn", i + 1)).alias(f"n{i}") for i in range(DISCOUNTED + 4)]).first()
     n = [x or 0 for x in n]
     model = Words(n[2:], n[0], n[1])
-    words = words.where("kind = 'w'")
+    told = words.where("kind = 'w'").select("table", "by", "kind", "value")
+
+    def opened_round(left: pa.Table, right: pa.Table) -> Round:
+        row = left.to_pylist()[0]
+        r = Round(row, right.to_pylist(), tables, model, d2, d3, spread)
+        r.t_number = row["table"]
+        return r
+
+    def round_b(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([opened_round(left, right).ask_b()], ASKED)
 
-    def ask_histories(left: pa.Table, right: pa.Table) -> pa.Table:
-        """c(h), its discounted mass and the P(w) of its seen words, as far as this table's pairs tell."""
-        r = left.to_pylist()[0]
-        c, hs = opened(r["c"], np.uint32).astype(np.int64), opened_sorted(r["h"])
-        hi, wi = np.cumsum(opened(r["hi"], np.uint32), dtype=np.int64), opened(r["wi"], np.uint32)
-        p = model.p(answers(right.to_pylist(), "w", opened_sorted(r["w"]), tables, 1, np.int64)[:, 0])
-        sums = [np.bincount(hi, weights=x, minlength=len(hs)) for x in (c, discounted(c, d2), np.where(c > 0, p[wi], 0.0))]
-        return pa.Table.from_batches([ask(r["table"], hs, np.stack(sums, axis=1), tables)], ASKED)
+    def round_h(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = opened_round(left, right)
+        r.with_b()
+        return pa.Table.from_batches([r.ask_h()], ASKED)
 
-    asked = pairs.select("table", "h", "hi", "w", "wi", "c").groupBy("table").cogroup(words.groupBy("table")).applyInArrow(lambda a, b: ask_histories(a, b), ddl(ASKED))
-    histories = materialize(asked.groupBy("to").applyInArrow(teller("h", 3, np.float64), ddl(TOLD)), "katz-histories")
+    # sums of spread histories, first of pairs and then, as they need P(w | b), of triples
+    for kind, tell in (("b", round_b), ("h", round_h)):
+        if spread:
+            asked = triples.select(*shape).groupBy("table").cogroup(told.groupBy("table")).applyInArrow((lambda f: lambda x, y: f(x, y))(tell), ddl(ASKED))
+            told = told.unionByName(materialize(asked.groupBy("to").applyInArrow(teller(kind, 3, np.float64), ddl(TOLD)), f"katz-{kind}").select("table", "by", "kind", "value"))
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        r, told = left.to_pylist()[0], right.to_pylist()
-        c, hs, ws = opened(r["c"], np.uint32).astype(np.int64), opened_sorted(r["h"]), opened_sorted(r["w"])
-        hi, wi = np.cumsum(opened(r["hi"], np.uint32), dtype=np.int64), opened(r["wi"], np.uint32)
-        cw = answers(told, "w", ws, tables, 1, np.int64)[:, 0]
-        ch, mass, seen = answers(told, "h", hs, tables, 3, np.float64).T
-        over = np.where(mass < ch * (1 - 1e-12), ch, ch + 1)
-        alpha = np.where(ch > 0, (1 - mass / over) / np.maximum(1 - seen, 1e-300), 1.0)
-        p = np.where(c > 0, discounted(c, d2) / over[hi], alpha[hi] * model.p(cw)[wi])
-        ep, et = np.cumsum(opened(r["ep"], np.int32), dtype=np.int64), opened(r["et"], np.uint32)
-        parts = opened(r["parts"], np.int64).reshape(-1, 3)
+        r = opened_round(left, right)
+        r.with_b()
+        p, row = r.probabilities(), left.to_pylist()[0]
+        w = r.t.pw[r.pair]
+        ep, et = np.cumsum(opened(row["ep"], np.int32), dtype=np.int64), opened(row["et"], np.uint32)
+        parts = opened(row["parts"], np.int64).reshape(-1, 3)
         begin = np.cumsum(parts[:, 1]) - parts[:, 1]
-        ed, size = opened(r["ed"], np.uint32) + np.repeat(begin, parts[:, 2]), int(parts[:, 1].sum())
-        columns = [np.bincount(ed, weights=et * x[ep], minlength=size) for x in ((cw > 0)[wi], model.base(cw)[wi], np.log10(p))]
+        ed, size = opened(row["ed"], np.uint32) + np.repeat(begin, parts[:, 2]), int(parts[:, 1].sum())
+        columns = [np.bincount(ed, weights=et * x[ep], minlength=size) for x in ((r.cw > 0)[w], model.base(r.cw)[w], np.log10(p))]
         out = [(part, 0, squeeze(columns[0][a : a + k], np.int32), squeeze(columns[1][a : a + k]), squeeze(columns[2][a : a + k]), None, None) for (part, k, _), a in zip(parts.tolist(), begin.tolist())]
         return pa.Table.from_pydict({k: [x[i] for x in out] for i, k in enumerate(SUMS.names)}, schema=SUMS)
 
-    told = words.unionByName(histories).select("table", "by", "kind", "value")
-    by_table = pairs.drop("part", "ids", "nn", "wc", "n").groupBy("table").cogroup(told.groupBy("table")).applyInArrow(lambda a, b: sums(a, b), ddl(SUMS))
+    by_table = triples.drop("part", "ids", "n2", "n3", "n").groupBy("table").cogroup(told.groupBy("table")).applyInArrow(lambda a, b: sums(a, b), ddl(SUMS))
     names = kept.where("table = -1").select("part", F.lit(0).cast("long").alias("first"), *[F.lit(None).cast("binary").alias(k) for k in ("known", "base", "score")], "ids", "n")
 
     def finish(batch: pa.Table) -> pa.Table:
