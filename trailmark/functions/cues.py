@@ -34,6 +34,7 @@ ROUTE_QUESTIONS = [
     ("exception", ["exception", "override", "unless", "contradict"]),
     ("semantic-summary", ["summary", "general rule", "abstract", "pattern"]),
 ]
+# fixed values: the kinds of edges on each kind of route, the order of sources of routes, and the shares of a place's parts
 ROUTE_EDGES = {
     "timeline": ["next"],
     "dependency": ["depends_on", "part_of", "causes"],
@@ -71,7 +72,7 @@ def trigger_score(query: Column, words: Column, phrases: Column, situations: Col
     low = F.lower(query)
     said = F.size(F.filter(phrases, lambda p: (p != "") & F.contains(low, p)))
     met = F.size(F.filter(situations, lambda s: F.size(F.array_intersect(text.tokens(s), words)) >= 2))
-    asked = F.size(F.filter(scenarios, lambda s: (F.size(text.tokens(s)) > 0) & (F.size(F.array_except(text.tokens(s), words)) == 0)))
+    asked = F.size(F.filter(F.transform(scenarios, text.tokens), lambda t: (F.size(t) > 0) & (F.size(F.array_except(t, words)) == 0)))
     named = F.size(F.filter(symbols, lambda s: F.contains(low, s)))
     return F.round(F.least(F.lit(1.0), 0.3 * said + 0.18 * met + 0.25 * asked + 0.12 * named), 9)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,20 +35,21 @@ SYMBOLIC_CUES = {
 CONTRACT_WEIGHTS = {"risk": (["terminate", "damages", "indemnify", "breach", "penalty"], 0.9, 0.3), "importance": (["shall", "must", "liable", "exclusive"], 0.8, 0.4), "novelty": (["except", "unless", "notwithstanding"], 0.85, 0.25)}
 RUNBOOK_WEIGHTS = {"risk": (["severity", "incident", "outage", "rollback", "page", "degrade"], 0.9, 0.35), "importance": (["must", "immediately", "within", "verify", "required"], 0.85, 0.45), "novelty": (["unless", "except", "manual approval"], 0.8, 0.2)}
 
-#: Words that are no terms, compared after stemming.
-STOP = "the a an and or if when after once then must should does not within for with into from that this what which where".split()
+# fixed values: words that are no terms, compared after stemming
+STOP = ["the", "a", "an", "and", "or", "if", "when", "after", "once", "then", "must", "should", "does", "not", "within", "for", "with", "into", "from", "that", "this", "what", "which", "where"]
+
+#: A token and the suffix that it loses: ing of over 5 letters, ed or es of over 4, s of over 3; the longer of es and s.
+SUFFIX = "(?<![a-z0-9])([a-z0-9]{3,}?)(?:ing|ed|es|s)(?![a-z0-9])"
 
 
-def stem(token: Column) -> Column:
-    """Drop the first suffix that fits: ing of over 5 letters, ed or es of over 4, s of over 3."""
-    n = F.length(token)
-    cut = lambda k: token.substr(F.lit(1), n - k)
-    return F.when((n > 5) & token.endswith("ing"), cut(3)).when((n > 4) & (token.endswith("ed") | token.endswith("es")), cut(2)).when((n > 3) & token.endswith("s"), cut(1)).otherwise(token)
+def stemmed(text: Column) -> Column:
+    """Lower-cased text whose runs of a-z and 0-9 have lost their suffix; one regular expression, so it stays in generated code."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SUFFIX, "$1")
 
 
 def tokens(text: Column) -> Column:
     """Stemmed runs of a-z and 0-9 in order, repeats kept; none for null."""
-    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), stem)
+    return F.regexp_extract_all(stemmed(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:
@@ -77,10 +80,8 @@ def semantic_role(text: Column, node_type: Column) -> Column:
 
 
 def plain_stem(token: str) -> str:
-    for suffix, more, cut in (("ing", 5, 3), ("ed", 4, 2), ("es", 4, 2), ("s", 3, 1)):
-        if len(token) > more and token.endswith(suffix):
-            return token[:-cut]
-    return token
+    """A token's stem in plain Python, for constants."""
+    return re.sub(SUFFIX, r"\1", token)
 
 
 def scenario_tags(text: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import cues, text
 from trailmark.operators import walk
 from trailmark.plans.queries import _CLAUSE, _NODES, _SCEN, _SYMB, _TOKENS, LIFECYCLE_FOLD, _like, _read
+from trailmark.sources import storage
 from trailmark.streaming import lifecycle
 
 #: A question for the clauses of each order status; P stands for any other.
@@ -22,19 +22,25 @@ QUESTIONS = {
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    question = F.when(F.col("o_orderstatus") == "F", QUESTIONS["F"]).when(F.col("o_orderstatus") == "O", QUESTIONS["O"]).otherwise(QUESTIONS["P"])
-    n = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), question.alias("question"), F.expr(_CLAUSE).alias("content"))
+    """Clauses and the questions that their status asks; what a question says is told once for each of the three."""
+    asks = spark.createDataFrame(list(QUESTIONS.items()), "status string, question string")
+    asks = asks.select("*", F.array_distinct(text.tokens(F.col("question"))).alias("words"), text.scenario_tags(F.col("question")).alias("q_scen"), text.symbolic_tags(F.col("question"), F.lit(None).cast("string")).alias("q_symb"))
+    status = F.when(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus")).otherwise("P").alias("status")
+    n = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), status, F.expr(_CLAUSE).alias("content"))
     n = n.withColumn("role", text.semantic_role(F.col("content"), F.lit("clause")))
-    return n.select("*", text.scenario_tags(F.col("content")).alias("scen"), text.symbolic_tags(F.col("content"), F.col("role")).alias("symb"), F.array_distinct(text.tokens(F.col("question"))).alias("words"), text.scenario_tags(F.col("question")).alias("q_scen"), text.symbolic_tags(F.col("question"), F.lit(None).cast("string")).alias("q_symb"))
+    n = n.select("*", text.scenario_tags(F.col("content")).alias("scen"), text.symbolic_tags(F.col("content"), F.col("role")).alias("symb"), text.tokens(F.col("content")).alias("own"))
+    return n.join(F.broadcast(asks), "status")
 
 
 def clause_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What calls up each clause, and how far its question does."""
+    """What calls up each clause, and how far its question does; a score is made once for each distinct profile of clauses and question."""
     n = _clauses(spark, sf_dir).withColumn("phrases", cues.trigger_phrases(F.col("content"), F.col("scen"))).withColumn("situations", cues.trigger_situations(F.col("scen"), F.col("symb")))
-    n = n.withColumn("trigger", cues.trigger_score(*[F.col(c) for c in ("question", "words", "phrases", "situations", "scen", "symb")]))
-    n = n.withColumn("intent", cues.intent_score(*[F.col(c) for c in ("question", "q_scen", "q_symb", "scen", "symb", "role")]))
-    overlap = text.lexical_overlap(F.col("question"), F.col("content"))
-    return n.select("node_id", F.array_join("phrases", "|").alias("phrases"), F.array_join("situations", "|").alias("situations"), "trigger", "intent", cues.seed_reason(F.lit("lexical"), F.col("trigger"), F.col("intent")).alias("reason"), cues.seed_score(overlap, F.col("trigger"), F.col("intent"), F.lit(0.95), "lexical").alias("score"), cues.asked_route(F.col("question")).alias("asked"))
+    profile = ["status", "role", "phrases", "situations", "scen", "symb"]
+    kinds = n.groupBy(*profile).agg(*[F.first(c).alias(c) for c in ("question", "words", "q_scen", "q_symb")])
+    kinds = kinds.withColumn("trigger", cues.trigger_score(*[F.col(c) for c in ("question", "words", "phrases", "situations", "scen", "symb")]))
+    kinds = kinds.withColumn("intent", cues.intent_score(*[F.col(c) for c in ("question", "q_scen", "q_symb", "scen", "symb", "role")]))
+    rows = n.select("node_id", *profile, "question", (F.size(F.array_intersect("words", "own")) / F.size("words")).alias("overlap")).join(kinds.select(*profile, "trigger", "intent"), profile)
+    return rows.select("node_id", F.array_join("phrases", "|").alias("phrases"), F.array_join("situations", "|").alias("situations"), "trigger", "intent", cues.seed_reason(F.lit("lexical"), F.col("trigger"), F.col("intent")).alias("reason"), cues.seed_score(F.col("overlap"), F.col("trigger"), F.col("intent"), F.lit(0.95), "lexical").alias("score"), cues.asked_route(F.col("question")).alias("asked"))
 
 
 def _list(values: list[str]) -> str:
@@ -74,8 +80,7 @@ select conv_id as query_id, array_to_string(list_transform(generate_series(1, k)
 
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lifecycle_fold, with events as a stream: all that is there now, batch by batch; the last state of each user."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="stream-")
-    folder = f"{shared.rstrip('/')}/lifecycle-{uuid.uuid4().hex}"
+    folder = f"{storage.shared_dir(spark)}/lifecycle-{uuid.uuid4().hex}"
     path, source = f"{sf_dir}/events.parquet", spark.readStream
     file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file).isDirectory():
