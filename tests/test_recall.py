@@ -51,3 +51,25 @@ def test_ndcg(spark):
     gold = spark.createDataFrame([(1, 8)], "query_id long, node_id long")
     row = evaluate.ranking_metrics(ranked, gold, 10).first()
     assert row["ndcg"] == pytest.approx(0.63093, abs=1e-5) and row["hit"]
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BLOCK", 3)
+    monkeypatch.setattr(evaluate, "ROWS", 7)
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(40)]
+    d = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = {}
+    for r in evaluate.nearest(d.where("vec_id % 4 = 0"), d, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["node_id"])
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+    assert got == {i: sorted((j for j, _ in rows if j != i), key=lambda j: (-cos(v, rows[j][1]), j))[:3] for i, v in rows if i % 4 == 0}
+    assert evaluate.nearest(d.limit(0), d, 3).count() == 0
+
+
+def test_short_queries_meet_every_text(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BLOCK", 2)
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b c", "c", "zz", "one two three four five six seven"])], "query_id long, text string")
+    n = spark.createDataFrame([(1, "xa b cx"), (2, None), (3, "say one two three four five six seven")], "node_id long, text string")
+    got = {(r["query_id"], r["node_id"]) for r in evaluate.verbatim_gold(q, n).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (0, 3), (4, 3)}

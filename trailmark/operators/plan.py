@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import text
-from trailmark.operators import recall
+from trailmark.operators import graph, recall
 
 
 def rank_spaces(queries: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -24,9 +24,13 @@ def rank_spaces(queries: DataFrame, members: DataFrame, n: int) -> DataFrame:
 def fuse_seeds(queries: DataFrame, nodes: DataFrame, n: int, least: float = 0.1) -> DataFrame:
     """The best max(4n, 16) by cosine and by overlap, joined: 0.6 cosine + 0.4 overlap, or the one there is; the n best of at least ``least``."""
     wide = max(4 * n, 16)
-    e = recall.hash_embedding_topk(queries, nodes, wide).select("query_id", "node_id", F.col("score").alias("e"))
-    l = recall.lexical_topk(queries, nodes, wide).select("query_id", "node_id", F.col("score").alias("l"))
-    both = e.join(l, ["query_id", "node_id"], "full_outer").select("query_id", "node_id", F.round(F.coalesce(0.6 * F.col("e") + 0.4 * F.col("l"), "e", "l"), 9).alias("score")).where(F.col("score") >= least)
+    one = F.lit(0).cast("long").alias("graph_id")
+    sims = graph.similarities(queries.select(one, "query_id", "text"), nodes.select(one, "node_id", F.coalesce("text", F.lit("")).alias("content")))
+    rank = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "node_id"))
+    few = sims.withColumn("_e", rank("cos")).withColumn("_l", rank("lex"))
+    e = F.when(F.col("_e") <= wide, F.col("cos"))
+    l = F.when((F.col("_l") <= wide) & (F.col("lex") > 0), F.col("lex"))
+    both = few.select("query_id", "node_id", F.round(F.coalesce(0.6 * e + 0.4 * l, e, l), 9).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
@@ -61,7 +65,7 @@ def fuse(seeds: DataFrame, routes: DataFrame, steps: DataFrame, k: int) -> DataF
 
 def merge_routes(routes: DataFrame, k: int) -> DataFrame:
     """Of routes (query_id, steps, kind, priority, score) with equal steps and kind the first by priority and score; the k best."""
-    same = Window.partitionBy("query_id", "steps", "kind").orderBy(F.desc("priority"), F.desc("score"))
+    same = Window.partitionBy("query_id", "steps", "kind").orderBy(F.desc("priority"), F.desc("score"), *[c for c in routes.columns if c not in ("query_id", "steps", "kind", "priority", "score")])
     best = Window.partitionBy("query_id").orderBy(F.desc("priority"), F.desc("score"), F.desc(F.size("steps")), "steps")
     once = routes.withColumn("_r", F.row_number().over(same)).where("_r = 1").drop("_r")
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(1, k))
