@@ -7,7 +7,8 @@ can pose as a turn.
 
 Turns are ordered by turn, then role, then text; turns that are equal in all three count each.  Null roles and texts
 count as empty.  Rows without a conv_id belong to no conversation.  Equal conversations give empty completions and
-``usable`` false.  Extra columns are not read.
+``usable`` false.  Conversations of any number of turns are rendered whole; empty tables give no pairs; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def _text(turn: Column) -> Column:
 
 
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), F.replace(turn["role"], F.lit("|>"), F.lit("| >")), F.lit("|>\n"))
+    return F.concat(F.lit("<|"), F.replace(F.replace(turn["role"], F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), F.lit("|>\n"))
 
 
 def render(turns: Column) -> Column:
@@ -39,11 +40,17 @@ def render(turns: Column) -> Column:
 
 
 def spans(turns: Column) -> Column:
-    """array<struct<begin, end>> of the learned texts' characters in render(turns), ends excluded."""
-    size = lambda t: F.length(_head(t)) + F.length(_text(t)) + 8  # noqa: E731  8: the closing mark and line end
-    before = lambda i: F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda n, t: n + size(t))
-    marks = F.transform(turns, lambda t, i: F.struct((t["role"] == LEARNED).alias("learned"), (before(i) + F.length(_head(t))).alias("begin"), (before(i) + F.length(_head(t)) + F.length(_text(t))).alias("end")))
-    return F.transform(F.filter(marks, lambda m: m["learned"]), lambda m: F.struct(m["begin"].alias("begin"), m["end"].alias("end")))
+    """array<struct<begin, end>> of the learned texts' characters in render(turns), ends excluded; one pass with a running sum."""
+    kind = "struct<at: int, marks: array<struct<begin: int, end: int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().alias("marks")).cast(kind)
+
+    def add(seen: Column, t: Column) -> Column:
+        begin = seen["at"] + F.length(_head(t))
+        end = begin + F.length(_text(t))
+        mark = F.array(F.struct(begin.alias("begin"), end.alias("end")))
+        return F.struct((end + 8).alias("at"), F.when(t["role"] == LEARNED, F.concat(seen["marks"], mark)).otherwise(seen["marks"]).alias("marks")).cast(kind)  # 8: the closing mark and line end
+
+    return F.aggregate(turns, start, add)["marks"]
 
 
 def preference_pairs(pairs: DataFrame, keep: list[str]) -> DataFrame:
@@ -83,7 +90,7 @@ r as (select t.conv_id, i, role, case when i = last then next_reply else text en
 c as (select t.conv_id, i, role, text from t join n using (conv_id)),
 d as (select conv_id, coalesce(min(i) filter (where c.text is distinct from r.text or c.role is distinct from r.role), max(i) + 1) - 1 as common from c full join r using (conv_id, i) group by conv_id),
 b as (select 'c' as side, * from c union all select 'r', * from r),
-h as (select b.*, common, '<|' || replace(role, '|>', '| >') || '|>' || chr(10) as head, replace(text, '<|', '< |') as body from b join d using (conv_id)),
+h as (select b.*, common, '<|' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) as head, replace(text, '<|', '< |') as body from b join d using (conv_id)),
 o as (select *, head || body || '<|end|>' || chr(10) as whole, i > common as after from h),
 q as (select *, sum(length(whole)) over (partition by side, conv_id, after order by i) - length(whole) as pos from o),
 g as (select side, conv_id, after, string_agg(whole, '' order by i) as whole, string_agg(cast(pos + length(head) as bigint) || '-' || cast(pos + length(head) + length(body) as bigint), ',' order by i) filter (where role = 'assistant') as marks from q group by all)
