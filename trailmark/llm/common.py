@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import json
 import math
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,23 @@ def join_spread(rows: DataFrame, names: DataFrame, key: str, total: int) -> Data
     return met.where("_v is not null").select(*rows.columns, "_v.*").unionByName(cold.select(*rows.columns, *value))
 
 
+def trim() -> None:
+    """Give the worker's free memory back to the system: workers outlive their tasks, and what one stage needed is no use to the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that trims the worker when its task ends."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        trim()
+
+    return mapped
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 

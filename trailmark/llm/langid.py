@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, fold_column, slices
+from .common import column, fold_column, slices, trimmed
 
 DIMENSIONS = 8192
 CENTROIDS = 4
@@ -127,7 +127,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1)), "n": pa.array(np.append(df[at], n))})
 
-    got = texts.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    got = texts.select("text").mapInArrow(trimmed(counted), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIMENSIONS, np.int64)
     for r in got:
         if r["at"] >= 0:
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_pydict(own | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(rejected)})
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(predicted, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(trimmed(predicted), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import column, slices, trimmed
 
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 8192
 GROUP_TOKENS = 2_000_000
 #: How byte-level BPE cuts a text before it merges: a published pattern, a fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED = 300_000
+CACHED = 200_000
 
 
 class Encoder:
@@ -110,15 +110,6 @@ class Encoder:
         return out
 
 
-def encoder_of(definition: str) -> Encoder:
-    """The worker's encoder: made once, not for each task."""
-    kept = sys.modules.setdefault("_corpus_piece_cache", types.ModuleType("_corpus_piece_cache")).__dict__
-    name = f"e{zlib.crc32(definition.encode())}"
-    if name not in kept:
-        kept[name] = Encoder(definition)
-    return kept[name]
-
-
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
     """Pieces (document, start, length, sequence, offset) and the length of each sequence."""
     top = tiers[0]
@@ -202,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end: int = 0, group_tok
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        encoder, last = encoder_of(definition), np.array([end], "<u4").tobytes()
+        encoder, last = Encoder(definition), np.array([end], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
         doc_ids, ids, held, made, steps = [], [], 0, 0, 0
 
@@ -231,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end: int = 0, group_tok
             yield settle()
 
     schema = ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(packed), schema)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, column, join_spread, materialize, slices, words_of
+from .common import NO_ID, column, join_spread, materialize, slices, trimmed, words_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -156,7 +156,7 @@ def links(classes: DataFrame, distance: int = DISTANCE, most: int = MOST) -> Dat
             if a or hot:
                 yield out(a, b, hot)
 
-    found = materialize(balls.mapInArrow(bucketed, "a long, b long"), "simhash-links")
+    found = materialize(balls.mapInArrow(trimmed(bucketed), "a long, b long"), "simhash-links")
     small = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     one = [F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)]

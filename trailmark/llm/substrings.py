@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, column, materialize, slices, words_of
+from .common import NO_ID, column, materialize, slices, trimmed, words_of
 
 WINDOW = 13
 MINIMISER = 4
@@ -241,7 +241,7 @@ def lost_ranges(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-3 * total // BUCKET_BYTES))
-    sent = keyed.mapInArrow(lambda batches: send(batches, buckets), SENT)
+    sent = keyed.mapInArrow(trimmed(lambda batches: send(batches, buckets)), SENT)
     # ranges under -1 need no bucket: they are dealt by their documents
     local = F.when(F.col("bucket") == -1, F.xxhash64("docs")).otherwise(F.lit(0))
     return sent.groupBy("bucket", local.alias("part")).applyInArrow(lambda table: settle(table.drop_columns("part") if "part" in table.column_names else table), "id long, key long, ranges binary")
@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], texts: bool = True) -> Data
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(own))], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=[*[f.name for f in own], "n_words", "n_removed", "out"])
 
     schema = joined.select(*[f.name for f in own]).schema.add("n_words", "long").add("n_removed", "long").add("out", "string")
-    done = joined.mapInArrow(kept, schema)
+    done = joined.mapInArrow(trimmed(kept), schema)
     return done.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", F.col("out").alias("kept_text" if texts else "kept_sha256"))
 
 
