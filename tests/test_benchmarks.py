@@ -7,8 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from trailmark import __main__ as cli
-from trailmark.operators import benchmark, consolidate, graph, palace, suite
-from trailmark.sources import bridge, datasets, reports, sectioned
+from trailmark.operators import benchmark, consolidate, graph, palace, questions, suite
+from trailmark.sources import bridge, datasets, download, reports, sectioned
 
 TEXT = """# Deal
 ## goods
@@ -87,9 +87,9 @@ def test_recall_of_a_palace(spark):
     assert [(r["space_id"], r["reason"]) for r in got.spaces.where("query_id = 1").collect()] == [("ops", "hybrid_max(location_prior)")]
     assert [r["reason"] for r in got.spaces.where("query_id = 2").collect()] == ["fallback_low_confidence_scope"]
     seeds = [r["node_id"] for r in got.seeds.where("query_id = 1").orderBy("seed").collect()]
-    assert seeds[0] == "m0" and "m3" not in seeds
+    assert seeds[0] in ("m0", "m1") and "m3" not in seeds
     top = got.memories.where("query_id = 1").orderBy("rank").collect()
-    assert top[0]["node_id"] == "m0" and len(top) == 3 and not any(r["fallback"] for r in top)
+    assert top[0]["node_id"] == seeds[0] and len(top) == 3 and not any(r["fallback"] for r in top)
     # activation stays inside the space, and says so
     assert [r["node_id"] for r in got.snapshot.where("stopped_reason = 'outside_space_scope'").select("node_id").distinct().collect()] == ["m3"]
     routes = got.routes.where("query_id = 1").orderBy("rank").collect()
@@ -145,3 +145,30 @@ def test_command_line(spark, tmp_path, capsys):
     f.write_text(json.dumps([{"_id": "s", "question": "alpha beta", "type": "bridge", "context": [["T", ["alpha beta", "gamma"]]], "supporting_facts": [["T", 0]]}]))
     cli.main(["samples", str(f), "--modes", "embedding_baseline"])
     assert json.loads(capsys.readouterr().out)[0]["hit_at_5"] == 1.0
+
+
+def test_earlier_entry_points(spark, tmp_path):
+    write(tmp_path)
+    q = tmp_path / "questions.json"
+    q.write_text(json.dumps([{"id": "q1", "query": "may the buyer withhold payment", "evidence_node_ids": ["deal:1.2"]}, {"id": "q2", "query": "zzz", "evidence_node_ids": ["deal:9"]}]))
+    with pytest.warns(DeprecationWarning):
+        got = questions.evaluate_questions(spark, str(tmp_path / "docs"), str(q), "lexical_baseline", detailed=True)
+    assert (got["questions"], got["evidence_hit_rate"]) == (2, 0.5) and [r["hit"] for r in got["details"]] == [True, False]
+
+
+def test_downloads_retry_what_may_pass(tmp_path):
+    import io
+    import urllib.error
+
+    fail = [urllib.error.HTTPError("u", 503, "busy", {}, None), urllib.error.URLError("no name")]
+
+    def opener(url, timeout):
+        if fail:
+            raise fail.pop()
+        return io.BytesIO(b"data")
+
+    assert download.fetch("u", tmp_path / "a" / "f", pause=0, opener=opener).read_bytes() == b"data" and not list((tmp_path / "a").glob("*.part"))
+    fail.append(urllib.error.HTTPError("u", 404, "gone", {}, None))
+    with pytest.raises(urllib.error.HTTPError):
+        download.fetch("u", tmp_path / "g", pause=0, opener=opener)
+    assert not (tmp_path / "g").exists()
