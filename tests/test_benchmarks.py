@@ -96,6 +96,8 @@ def test_recall_of_a_palace(spark):
     assert {"way"} <= {r["route_id"] for r in routes}
     stored = next(r for r in routes if r["route_id"] == "way")
     assert stored["steps"] == ["m0", "m1", "m2"] and stored["route_source"] == "route_memory" and stored["explanation"] == "matches current seeds, matches query content, matches query route intent"
+    after = {r["node_id"]: (r["state"], r["count"]) for r in palace.reinforce(m.withColumn("count", F.lit(0).cast("long")), got.memories.where("query_id = 1")).collect()}
+    assert after[top[0]["node_id"]] == ("active", 1) and after["m3"][1] == 0
     # the second question shares nothing: the whole graph answers instead, with the first nodes
     assert all(r["fallback"] for r in got.memories.where("query_id = 2").collect())
 

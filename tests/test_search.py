@@ -130,10 +130,10 @@ def queue_paths(case, hops):
     return [(c[0], c[1], c[2]) for c in chain], route(chain), trace[:5]
 
 
-def queue_spread(case, hops, most):
+def queue_spread(case, hops, most, allowed=None):
     _, query, nodes, edges, sims, start, sim = case
     out, pairs = adjacency(edges), pair_set(nodes, edges)
-    if sim <= 0:
+    if sim <= 0 or (allowed is not None and start not in allowed):
         return None
     active, done = {}, set()
     trace = [[start, None, 0, sim, None, None]]
@@ -154,6 +154,9 @@ def queue_spread(case, hops, most):
         for b, k, w in out[node]:
             if b in done:
                 continue
+            if allowed is not None and b not in allowed:
+                trace.append([b, node, hop + 1, 0.0, "outside_space_scope", None])
+                continue
             p = round(a * 0.75 * w, 9)
             q = round(p * nodes[b]["decay"], 9)
             if p < 0.15 or q < 0.15:
@@ -195,12 +198,14 @@ def test_path_search_equals_a_queue(spark, hops):
         assert rounded(trace[case[0]]) == rounded(steps)
 
 
-@pytest.mark.parametrize("most", [12, 3])
-def test_spreading_equals_a_queue(spark, most):
+@pytest.mark.parametrize(("most", "scoped"), [(12, False), (3, False), (12, True)])
+def test_spreading_equals_a_queue(spark, most, scoped):
     cases = random_graphs(60, 20 + most)
     q, n, e, s, seeds = tables(spark, cases)
     p = search.prepare(q, n, e, True, s)
-    active, trace = search.spread(p, seeds, 2, most=most)
+    reach = {c[0]: {k for k in c[2] if k not in ("n1", "n4")} for c in cases}
+    scope = spark.createDataFrame([(g, g, k) for g, ids in reach.items() for k in ids], "graph_id long, query_id long, node_id string") if scoped else None
+    active, trace = search.spread(p, seeds, 2, most=most, scope=scope)
     got = collections.defaultdict(dict)
     for r in active.collect():
         got[r["query_id"]][r["node_id"]] = (r["activation"], r["score"], r["hop"], r["source_id"], r["via"])
@@ -209,7 +214,7 @@ def test_spreading_equals_a_queue(spark, most):
         rows[r["query_id"]].append((r["node_id"], r["source_id"], r["hop"], r["propagated"], r["stopped_reason"], r["activated"]))
     paths = {r["query_id"]: [x["node_id"] for x in r["steps"]] for r in search.trace_back(search.terminals(active, seeds, True), active, 2, "propagated").collect()}
     for case in cases:
-        want = queue_spread(case, 2, most)
+        want = queue_spread(case, 2, most, reach[case[0]] if scoped else None)
         if want is None:
             assert case[0] not in got and case[0] not in rows
             continue

@@ -91,12 +91,12 @@ def exception_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.where("exception_target is not null or depends_on_target is not null")
 
 
-def with_features(nodes: DataFrame, dynamic: bool) -> DataFrame:
-    """What scoring reads of a node; without dynamic, usage, decay and state count for nothing."""
+def with_features(nodes: DataFrame, dynamic: bool, anomaly: Column | None = None) -> DataFrame:
+    """What scoring reads of a node; without dynamic, usage, decay and state count for nothing.  anomaly (1 or 0) stands for the thresholds of risk and novelty."""
     bounded = scores.bounded_weight(F.col("importance"), F.col("risk"), F.col("novelty"), F.col("confidence"))
     own = {
         "weight_score": scores.effective_weight(bounded, F.col("usage"), F.col("decay")) if dynamic else bounded,
-        "anomaly": scores.anomalous(F.col("risk"), F.col("novelty")),
+        "anomaly": scores.anomalous(F.col("risk"), F.col("novelty")) if anomaly is None else anomaly,
         "exc": scores.exception_score(F.col("role")),
         "role_bonus": scores.activation_bonus(F.col("role")),
         "multiplier": scores.recall_multiplier(F.col("state"), F.col("stability")) if dynamic else F.lit(1.0),

@@ -8,13 +8,14 @@ text) and, if any are preferred, preferred (an array of space_ids).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import cues, scores, text
-from trailmark.operators import graph, modes, search
+from trailmark.operators import graph, modes, search, state, walk
 from trailmark.sources import storage
 
 Q = ["graph_id", "query_id"]
@@ -291,8 +292,6 @@ def plan_routes(queries: DataFrame, memories: DataFrame, links: DataFrame, seeds
 
 def greedy_route(queries: DataFrame, links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """The chain of best links from each question's best seed, kinds that the question asks for before others."""
-    from trailmark.operators import walk
-
     starts = seeds.where("seed = 1").join(queries.select(*Q, "text"), Q)
     keyed = starts.select(F.struct(*Q).alias("query_id"), F.struct("graph_id", "node_id").alias("node_id"), cues.asked_route(F.col("text")).alias("asked"))
     out = graph.add_reverse(links).select(F.struct("graph_id", F.col("src").alias("node_id")).alias("src"), F.struct("graph_id", F.col("dst").alias("node_id")).alias("dst"), F.col("edge_type").alias("kind"), F.col("weight").alias("strength"))
@@ -353,19 +352,38 @@ class Recalled:
     seeds: DataFrame
 
 
-def recall(queries: DataFrame, memories: DataFrame, spaces: DataFrame, links: DataFrame, policy: Policy = Policy(), sims: DataFrame | None = None) -> Recalled:
-    """Spaces, seeds, activation, routes, merging and ranking for all questions; questions that recall nothing fall back to a search of the whole graph, if the policy allows it."""
+@dataclass(frozen=True)
+class Steps:
+    """The steps of a recall that may be replaced; each takes and returns tables as the built-in one does."""
+
+    spaces: Callable[..., DataFrame] = hybrid_spaces
+    seeds: Callable[[Candidates, int], DataFrame] = hybrid_seeds
+    activation: Callable[..., Activated] = activate
+    routes: Callable[..., DataFrame] = plan_routes
+    ranking: Callable[..., tuple[DataFrame, DataFrame]] = rank_fusion
+
+
+def reinforce(memories: DataFrame, recalled: DataFrame) -> DataFrame:
+    """memories after a recall: those recalled (graph_id, node_id) are reinforced, all others decay, by the plain lifecycle."""
+    return modes.after_search(memories, recalled, modes.StatePolicy(True, state.reinforce, state.decay))
+
+
+def recall(queries: DataFrame, memories: DataFrame, spaces: DataFrame, links: DataFrame, policy: Policy = Policy(), sims: DataFrame | None = None, steps: Steps = Steps()) -> Recalled:
+    """Spaces, seeds, activation, routes, merging and ranking for all questions; questions that recall nothing fall back to a search of the whole graph, if the policy allows it.
+
+    A recall leaves the memories as they are; reinforce() makes what it recalled stronger.
+    """
     dynamic = policy.mode not in STATIC_MODES
     memories = storage.keep(graph.as_nodes(memories), "memories")
     sims = storage.keep(graph.similarities(queries, memories), "similarities") if sims is None else sims
-    allowed = storage.keep(hybrid_spaces(queries, spaces, memories, policy.max_spaces), "spaces")
+    allowed = storage.keep(steps.spaces(queries, spaces, memories, policy.max_spaces), "spaces")
     scope = None if spaces.isEmpty() else allowed
     found = candidates(queries, memories, sims, max(4 * policy.max_seeds, 16), dynamic, scope, policy.kinds)
-    seeds = storage.keep(hybrid_seeds(found, policy.max_seeds), "seeds")
-    active = activate(queries, memories, links, sims, seeds, scope, policy)
-    planned = plan_routes(queries, memories, links, seeds, policy)
+    seeds = storage.keep(steps.seeds(found, policy.max_seeds), "seeds")
+    active = steps.activation(queries, memories, links, sims, seeds, scope, policy)
+    planned = steps.routes(queries, memories, links, seeds, policy)
     routes = storage.keep(merge_routes(planned, active.routes, policy.top_k), "merged")
-    top, ranked = rank_fusion(memories, sims, seeds, active.memories, routes, policy.top_k, dynamic)
+    top, ranked = steps.ranking(memories, sims, seeds, active.memories, routes, policy.top_k, dynamic)
     top = storage.keep(top, "recalled")
     top, ranked = top.withColumn("fallback", F.lit(False)), ranked.select(*Q, "rank", "route_id", "route_kind", "route_source", "steps", "score", "explanation")
     if policy.fallback:

@@ -61,11 +61,11 @@ class Propagation:
         return F.when(F.col("edge_type") == "exception_to", 0.12).otherwise(0.0) + F.col("role_bonus") + graph.contradiction_bonus(F.col("pair"), F.col("in_pair"))
 
 
-def prepare(queries: DataFrame, nodes: DataFrame, edges: DataFrame, dynamic: bool, sims: DataFrame | None = None) -> Prepared:
-    """nodes and edges (each once, with bidirectional) made ready and stored, so that no level makes them again; sims replaces the built-in similarity."""
+def prepare(queries: DataFrame, nodes: DataFrame, edges: DataFrame, dynamic: bool, sims: DataFrame | None = None, anomaly: Column | None = None) -> Prepared:
+    """nodes and edges (each once, with bidirectional) made ready and stored, so that no level makes them again; sims replaces the built-in similarity, anomaly the built-in thresholds."""
     n, e = graph.mark_contradictions(graph.as_nodes(nodes), graph.add_reverse(edges))
     own = storage.keep(graph.similarities(queries, nodes), "similarities") if sims is None else sims
-    return Prepared(storage.keep(graph.with_features(n, dynamic), "features"), storage.keep(e, "edges"), graph.asked(queries), own)
+    return Prepared(storage.keep(graph.with_features(n, dynamic, anomaly), "features"), storage.keep(e, "edges"), graph.asked(queries), own)
 
 
 def _scored(rows: DataFrame, p: Prepared, total: Total, hop: int) -> DataFrame:

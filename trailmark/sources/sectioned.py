@@ -64,7 +64,7 @@ def units(documents: DataFrame) -> DataFrame:
 def nodes(parsed: DataFrame, pack_name: str) -> DataFrame:
     """Nodes of the pack's type with role, tags, weights, evidence and attributes; ``ord`` is (path, line)."""
     own = pack(pack_name)
-    place = {"document_id": F.col("stem"), "section": F.col("section"), "unit_number": F.col("number"), "domain_pack": F.lit(own.name)}
+    place = {"document_id": F.col("stem"), "section": F.col("section"), "unit_number": F.col("number"), f"{own.node_type}_number": F.col("number"), "domain_pack": F.lit(own.name)}
     n = parsed.select(F.concat_ws(":", "stem", "number").alias("node_id"), F.struct("path", "line").alias("ord"), F.lit(own.node_type).alias("type"), F.col("body").alias("content"), F.concat_ws(":", "stem", "section").alias("space_id"), "run", *[c.alias(k) for k, c in place.items()], F.struct(F.col("path").alias("source_path"), F.col("number").alias("section_id"), F.col("line").alias("line_start"), F.col("line").alias("line_end")).alias("source_ref"))
     if own.actions:
         n = n.withColumn("contains_action", text.any_in(F.lower("content"), own.actions))
