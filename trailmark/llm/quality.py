@@ -71,8 +71,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((rows - self.mean) / self.scale @ self.weights + self.bias, -30, 30)))
 
 
-def minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """Adam on the non-negative risk of a logistic model; p positives, u unlabelled."""
+def minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float | None = None) -> Model:
+    """Adam on the non-negative risk of a logistic model; p positives, u unlabelled.  Weights decay the more the fewer positives there are."""
+    decay = max(1e-3, 1 / len(p)) if decay is None else decay
     both = np.concatenate((p, u))
     mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-3)
     clip = lambda x: np.clip((x - mean) / scale, -8, 8)
