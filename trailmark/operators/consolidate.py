@@ -87,6 +87,7 @@ def consolidate(memories: DataFrame, links: DataFrame, policy: Policy = Policy()
     made = groups.withColumn("concept_type", F.explode(F.array(*[F.lit(c) for c in CONCEPTS])))
     or_else = lambda values, word: F.when(F.size(values) > 0, F.array_join(values, ", ")).otherwise(word)
     n = F.col("n").cast("string")
+    # fixed values: the wording of the three memories
     content = (
         F.when(F.col("concept_type") == "summary_memory", F.concat(F.lit("Summary memory for "), "scenario", F.lit(": "), n, F.lit(" related episodes recur around this scenario. Representative episodes: "), F.array_join(F.slice("_contents", 1, 2), " | ")))
         .when(F.col("concept_type") == "generalized_rule_memory", F.concat(F.lit("Generalized rule for "), "scenario", F.lit(": When this scenario appears, prioritize recurring signals ["), F.array_join("terms", ", "), F.lit("] and account for symbolic tags ["), or_else(F.col("shared_symbols"), "none"), F.lit("].")))

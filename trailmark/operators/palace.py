@@ -240,6 +240,7 @@ def activate(queries: DataFrame, memories: DataFrame, links: DataFrame, sims: Da
     kinds = F.filter(F.transform("steps", lambda s: s["via_edge_type"]), lambda e: e.isNotNull())
     kind = cues.walked_route(kinds)
     hops = (F.size("steps") - 1).cast("string")
+    # fixed values: the wording of explanations
     said = F.concat(F.lit("expanded from seed "), F.col("start").cast("string"), F.lit(" to "), F.col("end").cast("string"))
     told = F.when(F.size(kinds) > 0, F.concat(said, F.lit(" across "), hops, F.lit(" hops using "), F.array_join(kinds, " -> "), F.lit(" edges ("), kind, F.lit(")"))).when(F.col("start") == F.col("end"), F.concat(F.lit("seed "), F.col("start").cast("string"), F.lit(" remained the strongest recalled node"))).otherwise(F.concat(said, F.lit(" ("), kind, F.lit(")")))
     routes = walked.select(*Q, "seed", F.concat(F.lit("native-path-"), F.col("start").cast("string")).alias("route_id"), kind.alias("route_kind"), F.lit("native_activation").alias("route_source"), F.transform("steps", lambda s: s["node_id"]).alias("steps"), "score", told.alias("explanation"))
