@@ -38,8 +38,8 @@ from .common import column, fold, materialize, materialize_bucketed, slices
 DISCOUNTED = 5
 BATCH_TOKENS = 2_300_000
 TABLE_BYTES = 12 << 20
-#: A word with over one token in so many of a table's share is spread over several tables.
-PARTS = 4
+#: A word that fills a table of average size is spread over so many tables for each of those that it would fill.
+PARTS = 2
 SAMPLED = 16
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
@@ -134,12 +134,12 @@ def hashes_of(text: str | None) -> np.ndarray:
 
 
 def spread_words(docs: DataFrame, tables: int) -> dict[int, int]:
-    """Of each frequent middle word (a hash) over how many tables its triples go; at most 2 * PARTS * tables words.
+    """Of each frequent middle word (a hash) over how many tables its triples go; at most ``tables`` words, each with at least a table's share.
 
-    A word with a share of 1 / (PARTS * tables) has half of that in batches where it has half of that share, so words
-    that are rarer in a batch need not be sent.
+    A word with that share has half of it in batches where it has half of that share, so words that are rarer in a
+    batch need not be sent; a word whose sent part falls short of the share stays in one table, twice the average at most.
     """
-    least = 2 * PARTS * tables
+    least = 2 * tables
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -151,7 +151,7 @@ def spread_words(docs: DataFrame, tables: int) -> dict[int, int]:
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLED)) == 0)
     counted = sample.mapInArrow(frequent, "word long, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
     total = counted.agg(F.sum("every")).first()[0] or 0
-    hot = counted.where((F.col("n") > 0) & (F.col("n") * least >= total)).collect()
+    hot = counted.where((F.col("n") > 0) & (F.col("n") * tables >= total)).collect()
     return {r["word"] % (1 << 64): max(2, min(tables, -(-r["n"] * PARTS * tables // total))) for r in hot}
 
 
