@@ -82,7 +82,7 @@ def palace_tables(spark):
 
 def test_recall_of_a_palace(spark):
     m, spaces, links = palace_tables(spark)
-    q = spark.createDataFrame([(0, 1, "what comes next when the incident should page on call"), (0, 2, "nothing like it zzz")], "graph_id long, query_id long, text string")
+    q = spark.createDataFrame([(0, 1, "what comes next when the incident should page on call"), (0, 2, "blub qqqq")], "graph_id long, query_id long, text string")
     got = palace.recall(q, m, spaces, links, palace.Policy(max_spaces=1))
     assert [(r["space_id"], r["reason"]) for r in got.spaces.where("query_id = 1").collect()] == [("ops", "hybrid_max(location_prior)")]
     assert [r["reason"] for r in got.spaces.where("query_id = 2").collect()] == ["fallback_low_confidence_scope"]
