@@ -295,6 +295,26 @@ def test_near_dedup_stage_finds_copies_of_similarity_08(spark):
     assert got == {i for i, _ in made if i % 10 != 1}
 
 
+@pytest.mark.parametrize("most", [1024, 8])
+def test_near_dedup_stage_compares_all_sets_of_a_bucket(spark, monkeypatch, most):
+    """All sets in one bucket, chains of three where the ends are unlike; with blocks of the bucket and without."""
+    import corpus_pipeline
+    from trailmark.llm import similar
+
+    monkeypatch.setattr(similar, "bands_of", lambda hashes: [1] if len(hashes) else [])
+    monkeypatch.setattr(similar, "MOST", most, raising=False)
+    rng = random.Random(8)
+    made = []
+    for g in range(20):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(104)]
+        for i in range(3):
+            made.append((10 * g + i, " ".join(w)))
+            w[20 + 5 * i] = w[60 + 5 * i] = f"x{i}"  # 90 of 110 shingles are common to neighbours
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    assert got == {10 * g for g in range(20)}
+
+
 STAGED = "doc_id long, text string, lang string, source string, n_chars long, bucket string"
 
 
