@@ -4,7 +4,10 @@ import collections
 import hashlib
 import math
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -92,6 +95,30 @@ def test_katz_spreads_frequent_words(spark):
     assert got[xxhash.xxh64_intdigest(b"often")] == 10 and len(got) <= 10
 
 
+def test_katz_workers_give_memory_back():
+    """What a worker holds of large arrays goes when they are freed, also after larger ones were freed before."""
+    script = """
+import re
+import numpy as np
+from trailmark.llm import common, katz
+
+def held():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read()).group(1)) / 1024
+
+def work():
+    np.ones(30 << 20, np.uint8)
+    large = [np.ones(5 << 20, np.uint8) for _ in range(20)]
+    keep = np.ones(2 << 20, np.uint8)
+    before = held()
+    del large
+    return before - held()
+
+print(katz.lean(work), next(katz.leanly(lambda batches: iter([work()]))(None)))
+"""
+    got = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=Path(katz.__file__).parents[2], check=True).stdout
+    assert all(float(x) > 90 for x in got.split()) and got
+
+
 def test_warc_round_trip(spark, docs, tmp_path):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/ y\r\n").alias("url"), F.col("text").alias("html"), "key")
     archives = warc.write_archives(pages)

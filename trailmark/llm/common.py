@@ -129,6 +129,32 @@ def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return mapped
 
 
+def steady() -> None:
+    """Let allocations of over 1 MB be mappings of their own, for as long as this process lives: they go back to the system when they are freed, not with the task's end."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which would grow to 32 MB by itself
+
+
+def lean(function: Callable, *args):
+    """function(*args) in a worker that holds little besides: for groups of applyInArrow."""
+    steady()
+    try:
+        return function(*args)
+    finally:
+        trim()
+
+
+def leanly(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for mapInArrow."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
+        yield from function(batches)
+        trim()
+
+    return mapped
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 

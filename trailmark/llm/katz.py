@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fold, materialize, materialize_bucketed, slices
+from .common import column, fold, lean, leanly, materialize, materialize_bucketed, slices
 
 DISCOUNTED = 5
 BATCH_TOKENS = 2_300_000
@@ -149,7 +149,7 @@ def spread_words(docs: DataFrame, tables: int) -> dict[int, int]:
             yield pa.RecordBatch.from_pydict({"word": pa.array(np.append(words[some], np.uint64(0)).view(np.int64)), "n": pa.array(np.append(n[some], 0)), "every": pa.array(np.append(np.zeros(some.sum(), np.int64), n.sum()))})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLED)) == 0)
-    counted = sample.mapInArrow(frequent, "word long, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    counted = sample.mapInArrow(leanly(frequent), "word long, n long, every long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
     total = counted.agg(F.sum("every")).first()[0] or 0
     hot = counted.where((F.col("n") > 0) & (F.col("n") * tables >= total)).collect()
     return {r["word"] % (1 << 64): max(2, min(tables, -(-r["n"] * PARTS * tables // total))) for r in hot}
@@ -174,6 +174,7 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int, spread: d
         # tokens as numbers of the batch's distinct hashes, the begin mark's among them
         w = np.empty(int(n.sum()) + 1, np.uint64)
         last = np.cumsum(n) - 1
+        first = np.append(0, last[:-1] + 1)
         w[-1] = BEGIN
         w[last] = END
         inner = np.ones(len(w) - 1, bool)
@@ -181,9 +182,8 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int, spread: d
         w[:-1][inner] = np.concatenate(hashes)
         hashes = []
         distinct, number = np.unique(w, return_inverse=True)
-        del w, inner
+        del w, inner, last
         number, begin = number[:-1].astype(np.uint32), np.uint32(number[-1])
-        first = np.append(0, last[:-1] + 1)
         b = np.roll(number, 1)
         b[first] = begin
         a = np.roll(b, 1)
@@ -191,23 +191,26 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int, spread: d
         train = np.fromiter((fold(i, modulus) != 0 for i in ids), bool, len(ids))
         doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
         order = np.lexsort((a, number, b))  # stable, so documents ascend within a triple
-        a, b, w, doc = a[order], b[order], number[order], doc[order]
+        a, b, doc = a[order], b[order], doc[order]
+        w = number[order]
         del order, number
         # entries: a triple in a document
         starts = _firsts(a, b, w, doc)
-        tf = _sizes(starts, len(doc))
+        tf = _sizes(starts, len(doc)).astype(np.uint32)
         a, b, w, doc = a[starts], b[starts], w[starts], doc[starts]
+        del starts
         triple = _firsts(a, b, w)
-        c = np.add.reduceat(np.where(train[doc], tf, 0), triple)
+        c = np.add.reduceat(tf * train[doc], triple, dtype=np.int64)
         entries = _sizes(triple, len(doc))
         a, b, w = a[triple], b[triple], w[triple]
         table = table_of(distinct[b], distinct[w], spread, tables)
         to = np.argsort(table, kind="stable")  # within a table still by b, w, a
-        own = np.repeat(triple[to] - (np.cumsum(entries[to]) - entries[to]), entries[to]) + np.arange(len(doc))
+        own = np.repeat(triple[to] - (np.cumsum(entries[to]) - entries[to]), entries[to])
+        own += np.arange(len(doc))
         a, b, w, c, table, entries = a[to], b[to], w[to], c[to], table[to], entries[to]
         doc, tf = doc[own], tf[own]
         at = np.append(0, np.cumsum(entries))
-        del own, to, triple, starts
+        del own, to, triple
         cut = np.append(_firsts(table), len(table)).tolist()
         rows = {k: [] for k in SENT.names}
 
@@ -290,6 +293,7 @@ def merge(batch: pa.Table) -> pa.Table:
     name[order] = np.repeat(np.arange(len(starts), dtype=np.uint32), _sizes(starts, len(order)))
     c = np.add.reduceat(c[order], starts)
     a, b, w = a[starts], b[starts], w[starts]
+    del order, starts
     pair = _firsts(b, w)
     c2 = np.add.reduceat(c, pair)
     row = {"table": number, "n2": counts_of_counts(c2), "n3": counts_of_counts(c), "words": squeeze_sorted(every), "pb": squeeze(np.diff(b[pair].astype(np.int64), prepend=0), np.uint32), "pw": squeeze(w[pair]), "pn": squeeze(_sizes(pair, len(a)), np.uint32), "ta": squeeze(a), "tc": squeeze(c, np.uint32), "ep": squeeze(np.diff(name[ep].astype(np.int64), prepend=0), np.int32), "ed": squeeze(ed), "et": squeeze(et), "parts": squeeze(np.array(parts, np.int64))}
@@ -418,9 +422,9 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     tables = max(4, -(-total // TABLE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spread = spread_words(rows, tables)
-    sent = rows.mapInArrow(lambda batches: send(batches, tables, modulus, spread), ddl(SENT))
+    sent = rows.mapInArrow(leanly(lambda batches: send(batches, tables, modulus, spread)), ddl(SENT))
     alone = F.when(F.col("table") == -1, F.col("part")).otherwise(0)
-    kept = materialize_bucketed(sent.groupBy("table", alone.alias("_")).applyInArrow(lambda t: merge(t), ddl(KEPT)), "katz-triples", "table", tables)
+    kept = materialize_bucketed(sent.groupBy("table", alone.alias("_")).applyInArrow(lambda t: lean(merge, t), ddl(KEPT)), "katz-triples", "table", tables)
     triples = kept.where("table >= 0")
     nn = triples.select(*[F.sum(F.element_at(c, i + 1)).alias(f"{c}_{i}") for c in ("n2", "n3") for i in range(DISCOUNTED + 2)]).first()
     d2, d3 = (discounts([nn[f"{c}_{i}"] or 0 for i in range(DISCOUNTED + 2)]) for c in ("n2", "n3"))
@@ -433,7 +437,8 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
                 yield ask(r["table"], t.words, counts, tables)
 
     shape = ["table", "words", "pb", "pw", "pn", "ta", "tc"]
-    words = materialize(triples.select(*shape).mapInArrow(ask_words, ddl(ASKED)).groupBy("to").applyInArrow(teller("w", 1, np.int64), ddl(TOLD)), "katz-words")
+    tell_words = teller("w", 1, np.int64)
+    words = materialize(triples.select(*shape).mapInArrow(leanly(ask_words), ddl(ASKED)).groupBy("to").applyInArrow(lambda t: lean(tell_words, t), ddl(TOLD)), "katz-words")
     n = words.where("kind = 'n'").select([F.sum(F.element_at("nn", i + 1)).alias(f"n{i}") for i in range(DISCOUNTED + 4)]).first()
     n = [x or 0 for x in n]
     model = Words(n[2:], n[0], n[1])
@@ -456,8 +461,8 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     # sums of spread histories, first of pairs and then, as they need P(w | b), of triples
     for kind, tell in (("b", round_b), ("h", round_h)):
         if spread:
-            asked = triples.select(*shape).groupBy("table").cogroup(told.groupBy("table")).applyInArrow((lambda f: lambda x, y: f(x, y))(tell), ddl(ASKED))
-            told = told.unionByName(materialize(asked.groupBy("to").applyInArrow(teller(kind, 3, np.float64), ddl(TOLD)), f"katz-{kind}").select("table", "by", "kind", "value"))
+            asked = triples.select(*shape).groupBy("table").cogroup(told.groupBy("table")).applyInArrow((lambda f: lambda x, y: lean(f, x, y))(tell), ddl(ASKED))
+            told = told.unionByName(materialize(asked.groupBy("to").applyInArrow((lambda f: lambda t: lean(f, t))(teller(kind, 3, np.float64)), ddl(TOLD)), f"katz-{kind}").select("table", "by", "kind", "value"))
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         r = opened_round(left, right)
@@ -472,7 +477,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
         out = [(part, 0, squeeze(columns[0][a : a + k], np.int32), squeeze(columns[1][a : a + k]), squeeze(columns[2][a : a + k]), None, None) for (part, k, _), a in zip(parts.tolist(), begin.tolist())]
         return pa.Table.from_pydict({k: [x[i] for x in out] for i, k in enumerate(SUMS.names)}, schema=SUMS)
 
-    by_table = triples.drop("part", "ids", "n2", "n3", "n").groupBy("table").cogroup(told.groupBy("table")).applyInArrow(lambda a, b: sums(a, b), ddl(SUMS))
+    by_table = triples.drop("part", "ids", "n2", "n3", "n").groupBy("table").cogroup(told.groupBy("table")).applyInArrow(lambda a, b: lean(sums, a, b), ddl(SUMS))
     names = kept.where("table = -1").select("part", F.lit(0).cast("long").alias("first"), *[F.lit(None).cast("binary").alias(k) for k in ("known", "base", "score")], "ids", "n")
 
     def finish(batch: pa.Table) -> pa.Table:
@@ -487,7 +492,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
         n = len(own["ids"])
         return pa.table({"doc_id": pa.array(own["ids"], pa.int64()), "held_out": pa.array([fold(i, modulus) == 0 for i in own["ids"]], pa.bool_()), "n_tokens": pa.array(opened(own["n"], np.uint32).astype(np.int64)), "n_known": pa.array(totals[0].astype(np.int64)), "train_tokens": pa.array(np.full(n, model.total), pa.int64()), "base_score": pa.array(totals[1]), "score": pa.array(totals[2])})
 
-    return by_table.unionByName(names).groupBy("part").applyInArrow(lambda t: finish(t), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_table.unionByName(names).groupBy("part").applyInArrow(lambda t: lean(finish, t), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
