@@ -6,10 +6,12 @@ import math
 import random
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -119,6 +121,46 @@ print(katz.lean(work), next(katz.leanly(lambda batches: iter([work()]))(None)))
     assert all(float(x) > 90 for x in got.split()) and got
 
 
+def test_katz_workers_work_in_pieces(monkeypatch):
+    """What sending, merging and scoring hold besides their input grows little with a batch; pieces change nothing."""
+    import pyspark
+
+    class Context:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 200) % 20000) for _ in range(1500)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    held = {}
+
+    def most(name, function):
+        tracemalloc.start()
+        got = function()
+        held[name] = tracemalloc.get_traced_memory()[1] / (201 * len(texts))
+        tracemalloc.stop()
+        return got
+
+    def run(piece):
+        monkeypatch.setattr(katz, "PIECE", piece, raising=False)
+        sent = pa.Table.from_batches(most("send", lambda: list(katz.send(iter([docs]), 40, 10, {}))))
+        sent = sent.set_column(sent.schema.get_field_index("table"), "table", pa.array([-1] + [0] * (len(sent) - 1)))  # all triples in one table
+        merged = most("merge", lambda: katz.merge(sent.slice(1)))
+        model = katz.Words([0, 9, 5, 3, 2, 1, 1], 300000, 20000)
+
+        def score():
+            r = katz.Round({k: v[0].as_py() for k, v in zip(merged.schema.names, merged.columns)}, [], 4, model, np.ones(6), np.ones(6), {})
+            r.with_b()
+            return r.probabilities()
+
+        return sent, merged, most("score", score)
+
+    whole, parts = run(1 << 30), run(1 << 14)
+    assert whole[0].equals(parts[0]) and whole[1].equals(parts[1]) and (whole[2] == parts[2]).all()
+    assert held["send"] < 55 and held["merge"] < 45 and held["score"] < 45, held
+
+
 def test_warc_round_trip(spark, docs, tmp_path):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/ y\r\n").alias("url"), F.col("text").alias("html"), "key")
     archives = warc.write_archives(pages)

@@ -41,6 +41,8 @@ TABLE_BYTES = 12 << 20
 #: A word that fills a table of average size is spread over so many tables for each of those that it would fill.
 PARTS = 2
 SAMPLED = 16
+#: About so many of a batch's tokens, or of a table's triples, are worked on at a time, so that workers hold little besides what they keep.
+PIECE = 1 << 18
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 
@@ -53,7 +55,7 @@ def squeeze(a: np.ndarray, kind=None) -> bytes:
     """The bytes of equal weight side by side, compressed; so numbers take about as many bits as they have."""
     a = np.ascontiguousarray(a if kind is None else a.astype(kind))
     planes = a.view(np.uint8).reshape(-1, a.itemsize).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes))
 
 
 def squeeze_sorted(a: np.ndarray) -> bytes:
@@ -61,15 +63,42 @@ def squeeze_sorted(a: np.ndarray) -> bytes:
     return squeeze(np.diff(a, prepend=np.uint64(0)))
 
 
-def opened(data: bytes, kind) -> np.ndarray:
+def opened(data: bytes | pa.Buffer, kind) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def opened_sorted(data: bytes) -> np.ndarray:
+def opened_sorted(data: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(opened(data, np.uint64), dtype=np.uint64)
 
 
+def row_of(batch: pa.Table | pa.RecordBatch, i: int) -> dict:
+    """A row whose binary values are left where they are."""
+    values = {k: batch.column(k)[i] for k in batch.schema.names}
+    return {k: v.as_buffer() if isinstance(v, pa.BinaryScalar) else v.as_py() for k, v in values.items()}
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the number of each value among them."""
+    order = np.argsort(values)
+    ascending = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    distinct = ascending[new]
+    del ascending
+    rank = np.cumsum(new, dtype=np.uint32)
+    rank -= np.uint32(1)
+    number = np.empty(len(values), np.uint32)
+    number[order] = rank
+    return distinct, number
+
+
+def pieces(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Ranges of runs that begin at starts, the last of which ends at n, of about PIECE rows; a run stays whole."""
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, n, PIECE)), len(starts))).tolist()
+    return list(zip(edges, edges[1:]))
+
+
 def discounts(n: list[int], k: int = DISCOUNTED) -> np.ndarray:
     """Good-Turing discounts of counts 0 to k from the counts of counts n[r]; 1 where they give none between 0 and 1."""
     d = np.ones(k + 1)
@@ -166,7 +195,7 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int, spread: d
     base, made = TaskContext.get().partitionId() << 32, 0
     ids, hashes, held = [], [], 0
 
-    def settle() -> pa.RecordBatch:
+    def settle() -> Iterator[pa.RecordBatch]:
         nonlocal ids, hashes, held, made
         part = base + made
         made += 1
@@ -175,58 +204,59 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int, spread: d
         w = np.empty(int(n.sum()) + 1, np.uint64)
         last = np.cumsum(n) - 1
         first = np.append(0, last[:-1] + 1)
+        for x, own in zip(first.tolist(), hashes):
+            w[x : x + len(own)] = own
         w[-1] = BEGIN
         w[last] = END
-        inner = np.ones(len(w) - 1, bool)
-        inner[last] = False
-        w[:-1][inner] = np.concatenate(hashes)
-        hashes = []
-        distinct, number = np.unique(w, return_inverse=True)
-        del w, inner, last
-        number, begin = number[:-1].astype(np.uint32), np.uint32(number[-1])
+        own, hashes = None, []
+        distinct, number = numbered(w)
+        del w
+        number, begin = number[:-1], number[-1]
         b = np.roll(number, 1)
         b[first] = begin
         a = np.roll(b, 1)
         a[first] = begin
         train = np.fromiter((fold(i, modulus) != 0 for i in ids), bool, len(ids))
         doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-        order = np.lexsort((a, number, b))  # stable, so documents ascend within a triple
-        a, b, doc = a[order], b[order], doc[order]
-        w = number[order]
-        del order, number
-        # entries: a triple in a document
-        starts = _firsts(a, b, w, doc)
-        tf = _sizes(starts, len(doc)).astype(np.uint32)
-        a, b, w, doc = a[starts], b[starts], w[starts], doc[starts]
-        del starts
-        triple = _firsts(a, b, w)
-        c = np.add.reduceat(tf * train[doc], triple, dtype=np.int64)
-        entries = _sizes(triple, len(doc))
-        a, b, w = a[triple], b[triple], w[triple]
-        table = table_of(distinct[b], distinct[w], spread, tables)
-        to = np.argsort(table, kind="stable")  # within a table still by b, w, a
-        own = np.repeat(triple[to] - (np.cumsum(entries[to]) - entries[to]), entries[to])
-        own += np.arange(len(doc))
-        a, b, w, c, table, entries = a[to], b[to], w[to], c[to], table[to], entries[to]
-        doc, tf = doc[own], tf[own]
-        at = np.append(0, np.cumsum(entries))
-        del own, to, triple
-        cut = np.append(_firsts(table), len(table)).tolist()
+        table = np.empty(len(number), np.int32)
+        for x in range(0, len(number), PIECE):
+            y = x + PIECE
+            table[x:y] = table_of(distinct[b[x:y]], distinct[number[x:y]], spread, tables)
         rows = {k: [] for k in SENT.names}
 
         def put(where, own_ids, *blobs):
             for k, v in zip(SENT.names, (where, part, own_ids, *blobs)):
                 rows[k].append(v)
 
+        def put_tables(low: int, high: int) -> None:
+            """The triples of tables low to high - 1."""
+            at = np.flatnonzero((table >= low) & (table < high))
+            at = at[np.lexsort((a[at], number[at], b[at], table[at]))]  # stable, so documents ascend within a triple
+            i, j, k, d = b[at], number[at], a[at], doc[at]
+            # entries: a triple in a document
+            starts = _firsts(i, j, k, d)
+            tf = _sizes(starts, len(d)).astype(np.uint32)
+            i, j, k, d, to = i[starts], j[starts], k[starts], d[starts], table[at[starts]]
+            triple = _firsts(i, j, k)
+            c = np.add.reduceat(tf * train[d], triple, dtype=np.int64)
+            entries = _sizes(triple, len(d))
+            i, j, k, to = i[triple], j[triple], k[triple], to[triple]
+            entry = np.append(triple, len(d))
+            cut = np.append(_firsts(to), len(to)).tolist()
+            for x, y in zip(cut, cut[1:]):
+                used = np.unique(np.concatenate((k[x:y], i[x:y], j[x:y])))
+                own_b, own_w, own_a = (np.searchsorted(used, v[x:y]) for v in (i, j, k))
+                pair = _firsts(own_b, own_w)
+                e, f = entry[x], entry[y]
+                put(int(to[x]), None, squeeze_sorted(distinct[used]), squeeze(np.diff(own_b[pair], prepend=0), np.uint32), squeeze(own_w[pair], np.uint32), squeeze(_sizes(pair, y - x), np.uint32), squeeze(own_a, np.uint32), squeeze(c[x:y], np.uint32), squeeze(entries[x:y], np.uint32), squeeze(d[e:f]), squeeze(tf[e:f], np.uint32))
+
         put(-1, ids, *[None] * 6, squeeze(n, np.uint32), None, None)
-        for x, y in zip(cut, cut[1:]):
-            used = np.unique(np.concatenate((a[x:y], b[x:y], w[x:y])))
-            i, j, k = (np.searchsorted(used, v[x:y]) for v in (b, w, a))
-            pair = _firsts(i, j)
-            e, f = at[x], at[y]
-            put(int(table[x]), None, squeeze_sorted(distinct[used]), squeeze(np.diff(i[pair], prepend=0), np.uint32), squeeze(j[pair], np.uint32), squeeze(_sizes(pair, y - x), np.uint32), squeeze(k, np.uint32), squeeze(c[x:y], np.uint32), squeeze(entries[x:y], np.uint32), squeeze(doc[e:f]), squeeze(tf[e:f], np.uint32))
         ids, held = [], 0
-        return pa.RecordBatch.from_pydict(rows, schema=SENT)
+        before = np.append(0, np.cumsum(np.bincount(table, minlength=tables)))
+        for low, high in pieces(before[:-1], len(table)):
+            put_tables(low, high)
+            yield pa.RecordBatch.from_pydict(rows, schema=SENT)
+            rows = {k: [] for k in SENT.names}
 
     for batch in slices(batches):
         for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text")):
@@ -234,9 +264,9 @@ def send(batches: Iterator[pa.RecordBatch], tables: int, modulus: int, spread: d
             hashes.append(hashes_of(text))
             held += len(hashes[-1]) + 1
             if held >= BATCH_TOKENS:
-                yield settle()
+                yield from settle()
     if ids:
-        yield settle()
+        yield from settle()
 
 
 KEPT = pa.schema([("table", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int64())), ("n2", pa.list_(pa.int64())), ("n3", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("words", "pb", "pw", "pn", "ta", "tc", "n", "ep", "ed", "et", "parts"))])
@@ -247,56 +277,63 @@ class Table:
 
     def __init__(self, row: dict):
         self.words = opened_sorted(row["words"])
-        self.pb, self.pw = np.cumsum(opened(row["pb"], np.uint32), dtype=np.int64), opened(row["pw"], np.uint32)
+        self.pb, self.pw = np.cumsum(opened(row["pb"], np.uint32), dtype=np.uint32), opened(row["pw"], np.uint32)
         self.pn = opened(row["pn"], np.uint32)
-        self.ta, self.tc = opened(row["ta"], np.uint32), opened(row["tc"], np.uint32).astype(np.int64)
-        self.first = np.cumsum(self.pn, dtype=np.int64) - self.pn
+        self.ta, self.tc = opened(row["ta"], np.uint32), opened(row["tc"], np.uint32)
 
     def pairs(self) -> np.ndarray:
         """The number of each triple's pair."""
-        return np.repeat(np.arange(len(self.pn)), self.pn)
+        return np.repeat(np.arange(len(self.pn), dtype=np.uint32), self.pn)
 
     def pair_counts(self) -> np.ndarray:
-        return np.add.reduceat(self.tc, self.first)
+        return np.add.reduceat(self.tc, np.cumsum(self.pn, dtype=np.int64) - self.pn, dtype=np.int64)
 
 
 def merge(batch: pa.Table) -> pa.Table:
     """One table's triples from all batches."""
-    rows = batch.to_pylist()
-    if rows[0]["table"] == -1:
-        out = [{"table": -1, "part": r["part"], "ids": r["ids"], "n": r["en"]} for r in rows]
+    number = batch.column("table")[0].as_py()
+    if number == -1:
+        out = [{"table": -1, "part": r["part"], "ids": r["ids"], "n": r["en"]} for r in batch.to_pylist()]
         return pa.Table.from_pydict({k: [r.get(k) for r in out] for k in KEPT.names}, schema=KEPT)
-    number, words = rows[0]["table"], [opened_sorted(r["words"]) for r in rows]
-    every = np.unique(np.concatenate(words))
-    a, b, w, c, parts, ep, ed, et, triples = [], [], [], [], [], [], [], [], 0
-    for r, own in zip(rows, words):
+    rows = [row_of(batch, i) for i in range(batch.num_rows)]
+    every, some = np.empty(0, np.uint64), []
+    for i, r in enumerate(rows):
+        some.append(opened_sorted(r["words"]))
+        if i == len(rows) - 1 or sum(map(len, some)) > 4 * PIECE:
+            every, some = np.unique(np.concatenate((every, *some))), []
+    size = [zstandard.frame_content_size(r["ta"]) // 4 for r in rows]
+    end = np.cumsum(size).tolist()
+    own = [slice(y - n, y) for y, n in zip(end, size)]
+    a, b, w, c = (np.empty(end[-1], np.uint32) for _ in range(4))
+    for r, x in zip(rows, own):
         t = Table(r)
-        to = np.searchsorted(every, own).astype(np.uint32)
-        pair = t.pairs()
-        a.append(to[t.ta])
-        b.append(to[t.pb[pair]])
-        w.append(to[t.pw[pair]])
-        c.append(t.tc)
-        ep.append(np.repeat(np.arange(triples, triples + len(pair), dtype=np.uint32), opened(r["en"], np.uint32)))
-        doc = opened(r["ed"], np.uint32)
-        ed.append(doc)
-        et.append(opened(r["et"], np.uint32))
-        parts.append((r["part"], int(doc.max()) + 1, len(doc)))
-        triples += len(pair)
-        r.clear()
-    del words
-    a, b, w, c, ep, ed, et = map(np.concatenate, (a, b, w, c, ep, ed, et))
-    order = np.lexsort((a, w, b))
-    a, b, w = a[order], b[order], w[order]
+        to = np.searchsorted(every, t.words).astype(np.uint32)
+        a[x], b[x], w[x], c[x] = to[t.ta], np.repeat(to[t.pb], t.pn), np.repeat(to[t.pw], t.pn), t.tc
+    del t, to
+    order = np.lexsort((a, w, b)).astype(np.uint32)
+    a = a[order]
+    b = b[order]
+    w = w[order]
     starts = _firsts(a, b, w)
-    name = np.empty(len(order), np.uint32)
-    name[order] = np.repeat(np.arange(len(starts), dtype=np.uint32), _sizes(starts, len(order)))
-    c = np.add.reduceat(c[order], starts)
     a, b, w = a[starts], b[starts], w[starts]
-    del order, starts
+    c = np.add.reduceat(c[order], starts, dtype=np.int64)
+    rank = np.zeros(len(order), np.uint32)
+    rank[starts[1:]] = 1
+    name = np.empty(len(order), np.uint32)
+    name[order] = np.cumsum(rank, dtype=np.uint32)
+    del order, starts, rank
     pair = _firsts(b, w)
-    c2 = np.add.reduceat(c, pair)
-    row = {"table": number, "n2": counts_of_counts(c2), "n3": counts_of_counts(c), "words": squeeze_sorted(every), "pb": squeeze(np.diff(b[pair].astype(np.int64), prepend=0), np.uint32), "pw": squeeze(w[pair]), "pn": squeeze(_sizes(pair, len(a)), np.uint32), "ta": squeeze(a), "tc": squeeze(c, np.uint32), "ep": squeeze(np.diff(name[ep].astype(np.int64), prepend=0), np.int32), "ed": squeeze(ed), "et": squeeze(et), "parts": squeeze(np.array(parts, np.int64))}
+    row = {"table": number, "n2": counts_of_counts(np.add.reduceat(c, pair)), "n3": counts_of_counts(c), "words": squeeze_sorted(every), "pb": squeeze(np.diff(b[pair].astype(np.int64), prepend=0), np.uint32), "pw": squeeze(w[pair]), "pn": squeeze(_sizes(pair, len(a)), np.uint32), "ta": squeeze(a), "tc": squeeze(c, np.uint32)}
+    del every, a, b, w, c, pair
+    # entries stay as they came, one array after the other
+    ep = np.concatenate([np.repeat(name[x], opened(r["en"], np.uint32)) for r, x in zip(rows, own)])
+    row["ep"] = squeeze(np.diff(ep, prepend=np.uint32(0)).view(np.int32))
+    del ep, name
+    ed = [opened(r["ed"], np.uint32) for r in rows]
+    row["parts"] = squeeze(np.array([(r["part"], int(d.max()) + 1, len(d)) for r, d in zip(rows, ed)], np.int64))
+    row["ed"] = squeeze(np.concatenate(ed))
+    del ed
+    row["et"] = squeeze(np.concatenate([opened(r["et"], np.uint32) for r in rows]))
     return pa.Table.from_pydict({k: [row.get(k)] for k in KEPT.names}, schema=KEPT)
 
 
@@ -361,7 +398,11 @@ class History:
 
 def _sums(starts: np.ndarray, c: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Columns c, mass and seen of each run of n-grams with the counts c; lower: their words' lower-order probabilities."""
-    return np.stack([np.add.reduceat(x, starts) for x in (c.astype(np.float64), discounted(c, d), np.where(c > 0, lower, 0.0))], axis=1)
+    out = np.empty((len(starts), 3))
+    out[:, 0] = np.add.reduceat(c, starts, dtype=np.float64)
+    out[:, 1] = np.add.reduceat(discounted(c, d), starts)
+    out[:, 2] = np.add.reduceat(np.where(c > 0, lower, 0.0), starts)
+    return out
 
 
 class Round:
@@ -386,34 +427,48 @@ class Round:
         sums = self.sums_b.copy()
         if self.hot.any():
             sums[self.hot] = answers(self.told, "b", self.t.words[self.t.pb[self.b]][self.hot], self.tables, 3, np.float64)
-        h, of = History(*sums.T), np.repeat(np.arange(len(self.b)), _sizes(self.b, len(self.t.pb)))
-        self.p2 = np.where(self.c2 > 0, discounted(self.c2, self.d2) / h.over[of], h.alpha[of] * self.p1)
+        t, h, of = self.t, History(*sums.T), np.repeat(np.arange(len(self.b), dtype=np.uint32), _sizes(self.b, len(self.t.pb)))
+        self.p2 = self.p1
+        for x in range(0, len(of), PIECE):
+            y = x + PIECE
+            c, own = self.c2[x:y], of[x:y]
+            self.p2[x:y] = np.where(c > 0, discounted(c, self.d2) / h.over[own], h.alpha[own] * self.p1[x:y])
+        del self.p1, self.c2
         # triples by history: a within b
-        t, pair = self.t, self.t.pairs()
-        self.pair, group = pair, of[pair]
-        self.order = np.lexsort((t.ta, group))
+        self.pair = t.pairs()
+        group = of[self.pair]
+        self.order = np.lexsort((t.ta, group)).astype(np.uint32)
         self.h = _firsts(group[self.order], t.ta[self.order])
-        first = self.order[self.h]
-        self.hot_h = self.hot[group[first]]
-        self.keys_h = mix(mix(t.words[t.ta[first]]) + t.words[t.pb[pair[first]]])
-        self.sums_h = _sums(self.h, t.tc[self.order], self.d3, self.p2[pair[self.order]])
+        self.hot_h = self.hot[group[self.order[self.h]]]
+        first = self.order[self.h[self.hot_h]]
+        self.keys_h = mix(mix(t.words[t.ta[first]]) + t.words[t.pb[self.pair[first]]])  # of spread histories
+
+    def histories(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Ranges of histories, their triples and sums."""
+        for x, y in pieces(self.h, len(self.order)):
+            own = self.order[self.h[x] : self.h[y] if y < len(self.h) else len(self.order)]
+            yield x, y, own, _sums(self.h[x:y] - self.h[x], self.t.tc[own], self.d3, self.p2[self.pair[own]])
 
     def ask_h(self) -> pa.RecordBatch:
-        at = np.argsort(self.keys_h[self.hot_h], kind="stable")
-        return ask(self.t_number, self.keys_h[self.hot_h][at], self.sums_h[self.hot_h][at], self.tables)
+        at = np.argsort(self.keys_h, kind="stable")
+        sums = np.concatenate([np.empty((0, 3)), *[sums[self.hot_h[x:y]] for x, y, _, sums in self.histories()]])
+        return ask(self.t_number, self.keys_h[at], sums[at], self.tables)
 
     def probabilities(self) -> np.ndarray:
         """P(w | a b) of all triples."""
-        sums = self.sums_h.copy()
-        if self.hot_h.any():
-            hot = np.flatnonzero(self.hot_h)
-            at = np.argsort(self.keys_h[hot], kind="stable")
-            sums[hot[at]] = answers(self.told, "h", self.keys_h[hot][at], self.tables, 3, np.float64)
-        h = History(*sums.T)
-        of = np.empty(len(self.order), np.int64)
-        of[self.order] = np.repeat(np.arange(len(self.h)), _sizes(self.h, len(self.order)))
-        c = self.t.tc
-        return np.where(c > 0, discounted(c, self.d3) / h.over[of], h.alpha[of] * self.p2[self.pair])
+        told = np.empty((len(self.keys_h), 3))
+        if len(told):
+            at = np.argsort(self.keys_h, kind="stable")
+            told[at] = answers(self.told, "h", self.keys_h[at], self.tables, 3, np.float64)
+        out, done = np.empty(len(self.order)), 0
+        for x, y, own, sums in self.histories():
+            hot = np.flatnonzero(self.hot_h[x:y])
+            sums[hot] = told[done : done + len(hot)]
+            done += len(hot)
+            h, of = History(*sums.T), np.repeat(np.arange(y - x), _sizes(self.h[x:y] - self.h[x], len(own)))
+            c = self.t.tc[own]
+            out[own] = np.where(c > 0, discounted(c, self.d3) / h.over[of], h.alpha[of] * self.p2[self.pair[own]])
+        return out
 
 
 def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
@@ -431,7 +486,8 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = row_of(batch, i)
                 t = Table(r)
                 counts = np.bincount(t.pw, weights=t.pair_counts(), minlength=len(t.words)).astype(np.int64)
                 yield ask(r["table"], t.words, counts, tables)
@@ -445,7 +501,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     told = words.where("kind = 'w'").select("table", "by", "kind", "value")
 
     def opened_round(left: pa.Table, right: pa.Table) -> Round:
-        row = left.to_pylist()[0]
+        row = row_of(left, 0)
         r = Round(row, right.to_pylist(), tables, model, d2, d3, spread)
         r.t_number = row["table"]
         return r
@@ -467,14 +523,18 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         r = opened_round(left, right)
         r.with_b()
-        p, row = r.probabilities(), left.to_pylist()[0]
-        w = r.t.pw[r.pair]
-        ep, et = np.cumsum(opened(row["ep"], np.int32), dtype=np.int64), opened(row["et"], np.uint32)
-        parts = opened(row["parts"], np.int64).reshape(-1, 3)
-        begin = np.cumsum(parts[:, 1]) - parts[:, 1]
-        ed, size = opened(row["ed"], np.uint32) + np.repeat(begin, parts[:, 2]), int(parts[:, 1].sum())
-        columns = [np.bincount(ed, weights=et * x[ep], minlength=size) for x in ((r.cw > 0)[w], model.base(r.cw)[w], np.log10(p))]
-        out = [(part, 0, squeeze(columns[0][a : a + k], np.int32), squeeze(columns[1][a : a + k]), squeeze(columns[2][a : a + k]), None, None) for (part, k, _), a in zip(parts.tolist(), begin.tolist())]
+        p, row, w = r.probabilities(), row_of(left, 0), r.t.pw[r.pair]
+        known, base = r.cw > 0, model.base(r.cw)
+        del r
+        np.log10(p, out=p)
+        ep, ed, et = opened(row["ep"], np.int32), opened(row["ed"], np.uint32), opened(row["et"], np.uint32)
+        out, at, before = [], 0, 0
+        for part, k, m in opened(row["parts"], np.int64).reshape(-1, 3).tolist():
+            x, at = at, at + m
+            triple = np.cumsum(ep[x:at], dtype=np.int64) + before
+            before, word, n = triple[-1], w[triple], et[x:at]
+            columns = [np.bincount(ed[x:at], weights=n * v, minlength=k) for v in (known[word], base[word], p[triple])]
+            out.append((part, 0, squeeze(columns[0], np.int32), squeeze(columns[1]), squeeze(columns[2]), None, None))
         return pa.Table.from_pydict({k: [x[i] for x in out] for i, k in enumerate(SUMS.names)}, schema=SUMS)
 
     by_table = triples.drop("part", "ids", "n2", "n3", "n").groupBy("table").cogroup(told.groupBy("table")).applyInArrow(lambda a, b: lean(sums, a, b), ddl(SUMS))
