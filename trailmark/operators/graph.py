@@ -7,10 +7,14 @@ which edges were added.  Questions are (query_id, graph_id, text).  Ties go to t
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import cues, scores, text
+from trailmark.operators import overlap
+from trailmark.sources import storage
 
 #: Words of a question that raise edges of a kind.
 DEPENDENCY_WORDS = ["if ", " when ", " after ", "depends", "override", "defective", "recover", "escalate", "who should", "comes after"]
@@ -164,7 +168,47 @@ def similarities(queries: DataFrame, nodes: DataFrame, name: str = "node_id") ->
     return rows.select("graph_id", "query_id", name, cos.alias("cos"), F.round(F.col("common") / F.col("words"), 9).alias("lex")).withColumn("sem", F.greatest("cos", "lex"))
 
 
-def seeds(queries: DataFrame, nodes: DataFrame, sims: DataFrame, k: int) -> DataFrame:
+#: Pairs up to this number go to every executor.
+FEW = 100_000
+
+
+@dataclass(frozen=True)
+class Similar:
+    """Similarities that are worked out for what is asked, so that no question meets every node in a table; such a table may stand for it wherever sims are taken."""
+
+    queries: DataFrame  # graph_id, query_id, text, each question once
+    nodes: DataFrame  # graph_id, node_id, ord, content, each node once
+
+    def best(self, k: int) -> DataFrame:
+        """(graph_id, query_id, node_id, ord, cos, lex, sem): rows with the k best of each question by cosine and by overlap, then by ord; nodes that share nothing are 0."""
+        found = overlap.nearest(self.queries, self.nodes, k, ["cos", "lex"], False)
+        return found.drop("by").withColumn("sem", F.greatest("cos", "lex"))
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(graph_id, query_id, node_id, cos, lex, sem) of the pairs (graph_id, query_id, node_id)."""
+        asked = storage.keep(pairs.select("graph_id", "query_id", "node_id").distinct(), "pairs")
+        asked = F.broadcast(asked) if asked.count() <= FEW else asked.hint("merge")
+        return overlap.of_pairs(self.queries, self.nodes.join(asked, ["graph_id", "node_id"])).withColumn("sem", F.greatest("cos", "lex"))
+
+
+def similar(queries: DataFrame, nodes: DataFrame) -> Similar | DataFrame:
+    """What similarities() tells, on demand; nodes need an ord.  Rows of one node are one text; questions whose id stands several times have a table."""
+    if overlap.repeated(queries, ["graph_id", "query_id"]) is not None:
+        return storage.keep(similarities(queries, nodes), "similarities")
+    key, own = ["graph_id", "node_id"], nodes.select("graph_id", "node_id", "ord", "content")
+    many = overlap.repeated(nodes, key)
+    if many is not None:
+        single, twice = overlap.apart(own, many, key)
+        own = single.unionByName(twice.groupBy(*key).agg(F.min("ord").alias("ord"), F.array_join(F.collect_list("content"), "\n").alias("content")))
+    return Similar(queries.select("graph_id", "query_id", "text"), own)
+
+
+def similarity_of(sims: DataFrame | Similar, pairs: DataFrame) -> DataFrame:
+    """A table with the similarities of the pairs (graph_id, query_id, node_id) at least."""
+    return sims.of(pairs) if isinstance(sims, Similar) else sims
+
+
+def seeds(queries: DataFrame, nodes: DataFrame, sims: DataFrame | Similar, k: int) -> DataFrame:
     """(graph_id, query_id, seed, node_id, similarity): the k best by cosine and the k best by overlap, best first.
 
     The former count by their cosine, the latter by the larger of both; a node in both lists by the larger score.
@@ -172,7 +216,7 @@ def seeds(queries: DataFrame, nodes: DataFrame, sims: DataFrame, k: int) -> Data
     """
     first = nodes.select("graph_id", "node_id", "ord").withColumn("_r", F.row_number().over(Window.partitionBy("graph_id").orderBy("ord"))).where(F.col("_r") <= k).drop("_r")
     fill = queries.select("graph_id", "query_id").join(first, "graph_id").select("graph_id", "query_id", "node_id", "ord", *[F.lit(0.0).alias(c) for c in ("cos", "lex", "sem")])
-    found = sims.join(nodes.select("graph_id", "node_id", "ord"), ["graph_id", "node_id"]).select(*fill.columns)
+    found = sims.best(k).select(*fill.columns) if isinstance(sims, Similar) else sims.join(nodes.select("graph_id", "node_id", "ord"), ["graph_id", "node_id"]).select(*fill.columns)
     every = found.unionByName(fill).groupBy("graph_id", "query_id", "node_id", "ord").agg(*[F.max(c).alias(c) for c in ("cos", "lex", "sem")])
     rank = lambda c: F.row_number().over(Window.partitionBy("graph_id", "query_id").orderBy(F.desc(c), "ord"))
     few = every.withColumn("e", rank("cos")).withColumn("l", rank("lex")).where((F.col("e") <= k) | (F.col("l") <= k))

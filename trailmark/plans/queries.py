@@ -59,7 +59,7 @@ def hybrid_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(0).cast("long").alias("graph_id")
     queries = _read(spark, sf_dir, "benchmark").select(one, F.col("item_id").alias("query_id"), "text")
     nodes = _read(spark, sf_dir, "documents").select(one, F.col("doc_id").alias("node_id"), F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("content"))
-    found = graph.seeds(queries, nodes, graph.similarities(queries, nodes), 3)
+    found = graph.seeds(queries, nodes, graph.similar(queries, nodes), 3)
     return found.select("query_id", "node_id", F.col("similarity").alias("score"), F.col("seed").alias("rank"))
 
 
