@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import text
-from trailmark.operators import graph, recall
+from trailmark.operators import recall
 
 
 def rank_spaces(queries: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -24,12 +24,10 @@ def rank_spaces(queries: DataFrame, members: DataFrame, n: int) -> DataFrame:
 def fuse_seeds(queries: DataFrame, nodes: DataFrame, n: int, least: float = 0.1) -> DataFrame:
     """The best max(4n, 16) by cosine and by overlap, joined: 0.6 cosine + 0.4 overlap, or the one there is; the n best of at least ``least``."""
     wide = max(4 * n, 16)
-    one = F.lit(0).cast("long").alias("graph_id")
-    sims = graph.similarities(queries.select(one, "query_id", "text"), nodes.select(one, "node_id", F.coalesce("text", F.lit("")).alias("content")))
-    rank = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "node_id"))
-    few = sims.withColumn("_e", rank("cos")).withColumn("_l", rank("lex"))
-    e = F.when(F.col("_e") <= wide, F.col("cos"))
-    l = F.when((F.col("_l") <= wide) & (F.col("lex") > 0), F.col("lex"))
+    few = recall.topk(queries, nodes, wide, ["cos", "lex"])
+    score = lambda by: F.max(F.when(F.col("by") == by, F.col("score")))
+    few = few.groupBy("query_id", "node_id").agg(score("cos").alias("e"), score("lex").alias("l"))
+    e, l = F.col("e"), F.col("l")
     both = few.select("query_id", "node_id", F.round(F.coalesce(0.6 * e + 0.4 * l, e, l), 9).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
