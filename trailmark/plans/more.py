@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import text
 from trailmark.operators import evaluate, plan, recall, state
 from trailmark.plans.queries import _EMB, _LEX, _TOKENS, LIFECYCLE_FOLD, _asked, _read
+from trailmark.sources import storage
 
 
 def line_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +104,9 @@ select query_id, array_to_string(list_sort(list(rank)), ',') as ranks from g joi
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, nodes = _asked(spark, sf_dir)
-    modes = {"lexical": recall.lexical_topk, "embedding": recall.hash_embedding_topk}
-    found = None
-    for mode, ranked in modes.items():
-        rows = ranked(queries, nodes, 3).select("query_id", "node_id", F.lit(mode).alias("mode"))
-        found = rows if found is None else found.unionByName(rows)
-    gold = evaluate.verbatim_gold(queries, nodes)
+    modes = {"lexical": "lex", "embedding": "cos"}
+    found = recall.topk(queries, nodes, 3, list(modes.values())).select("query_id", "node_id", F.when(F.col("by") == "lex", "lexical").otherwise("embedding").alias("mode"))
+    gold = storage.keep(evaluate.verbatim_gold(queries, nodes), "gold")
     hits = gold.join(found, ["query_id", "node_id"]).select("query_id", "mode").distinct()
     return gold.select("query_id").distinct().select("query_id", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode")).join(hits.withColumn("hit", F.lit(True)), ["query_id", "mode"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 

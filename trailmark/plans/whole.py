@@ -195,7 +195,7 @@ KIND_COUNTS = "select conv_id as graph_id, count(*)::bigint as episodic, 0::bigi
 def public_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits within 5 and 10 and NDCG of the documents that hold each passage, overall and by what is asked."""
     queries, nodes = _asked(spark, sf_dir)
-    ranked, gold = recall.lexical_topk(queries, nodes, 10), evaluate.verbatim_gold(queries, nodes)
+    ranked, gold = recall.lexical_topk(queries, nodes, 10), storage.keep(evaluate.verbatim_gold(queries, nodes), "gold")
     cases = queries.join(gold.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.concat(F.lit("type "), (F.col("query_id") % 3).cast("string")).alias("type"), F.concat(F.lit("level "), (F.col("query_id") % 2).cast("string")).alias("level"), F.lit("lexical").alias("mode"))
     return benchmark.public_report(benchmark.public_results(ranked, gold, cases), ["mode"], ["type", "level"])
 
