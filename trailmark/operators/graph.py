@@ -187,8 +187,12 @@ class Similar:
     def of(self, pairs: DataFrame) -> DataFrame:
         """(graph_id, query_id, node_id, cos, lex, sem) of the pairs (graph_id, query_id, node_id)."""
         asked = storage.keep(pairs.select("graph_id", "query_id", "node_id").distinct(), "pairs")
-        asked = F.broadcast(asked) if asked.count() <= FEW else asked.hint("merge")
-        return overlap.of_pairs(self.queries, self.nodes.join(asked, ["graph_id", "node_id"])).withColumn("sem", F.greatest("cos", "lex"))
+        return overlap.of_pairs(self.queries, self.nodes.join(few(asked), ["graph_id", "node_id"])).withColumn("sem", F.greatest("cos", "lex"))
+
+
+def few(stored: DataFrame) -> DataFrame:
+    """A stored table that goes to every executor if it has few rows; what Parquet takes on disk doesn't tell what a broadcast takes on the driver."""
+    return F.broadcast(stored) if stored.count() <= FEW else stored.hint("merge")
 
 
 def similar(queries: DataFrame, nodes: DataFrame) -> Similar | DataFrame:
@@ -216,7 +220,7 @@ def seeds(queries: DataFrame, nodes: DataFrame, sims: DataFrame | Similar, k: in
     """
     first = nodes.select("graph_id", "node_id", "ord").withColumn("_r", F.row_number().over(Window.partitionBy("graph_id").orderBy("ord"))).where(F.col("_r") <= k).drop("_r")
     fill = queries.select("graph_id", "query_id").join(first, "graph_id").select("graph_id", "query_id", "node_id", "ord", *[F.lit(0.0).alias(c) for c in ("cos", "lex", "sem")])
-    found = sims.best(k).select(*fill.columns) if isinstance(sims, Similar) else sims.join(nodes.select("graph_id", "node_id", "ord"), ["graph_id", "node_id"]).select(*fill.columns)
+    found = Similar(queries.select("graph_id", "query_id", "text"), sims.nodes).best(k).select(*fill.columns) if isinstance(sims, Similar) else sims.join(nodes.select("graph_id", "node_id", "ord"), ["graph_id", "node_id"]).select(*fill.columns)
     every = found.unionByName(fill).groupBy("graph_id", "query_id", "node_id", "ord").agg(*[F.max(c).alias(c) for c in ("cos", "lex", "sem")])
     rank = lambda c: F.row_number().over(Window.partitionBy("graph_id", "query_id").orderBy(F.desc(c), "ord"))
     few = every.withColumn("e", rank("cos")).withColumn("l", rank("lex")).where((F.col("e") <= k) | (F.col("l") <= k))

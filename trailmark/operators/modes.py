@@ -60,7 +60,7 @@ def mode(name: str) -> Mode:
     return MODES[name]
 
 
-def search_once(queries: DataFrame, nodes: DataFrame, edges: DataFrame, how: Mode, k: int = 3, hops: int = 2, sims: DataFrame | None = None) -> search.Found:
+def search_once(queries: DataFrame, nodes: DataFrame, edges: DataFrame, how: Mode, k: int = 3, hops: int = 2, sims: DataFrame | graph.Similar | None = None) -> search.Found:
     """All questions against the graph as it stands."""
     p = search.prepare(queries, nodes, edges, how.policy.dynamic, sims)
     if how.kind in ("lex", "cos"):
@@ -108,8 +108,7 @@ def search_in_turn(queries: DataFrame, nodes: DataFrame, edges: DataFrame, how:
     if not how.policy.dynamic:
         return search_once(queries, nodes, edges, how, k, hops, sims), graph.as_nodes(nodes)
     found, now = [], graph.as_nodes(nodes)
-    p = search.prepare(queries, now, edges, True, sims)
-    fixed = storage.keep(p.sims, "turn-sims")
+    fixed = storage.keep(graph.similarities(queries, now) if sims is None else sims, "turn-sims")
     for row in queries.select(order, "query_id", "graph_id").orderBy(order).collect():
         one = queries.where((F.col("query_id") == F.lit(row["query_id"])) & (F.col("graph_id") == F.lit(row["graph_id"])))
         got = search_once(one, now, edges, how, k, hops, fixed.where(F.col("query_id") == F.lit(row["query_id"])))

@@ -36,7 +36,7 @@ class Prepared:
     nodes: DataFrame  # with features
     edges: DataFrame  # with reverse edges and pair
     asked: DataFrame  # questions with flags
-    sims: DataFrame
+    sims: DataFrame | graph.Similar
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,22 @@ class Found:
     trace: DataFrame
 
 
+@dataclass(frozen=True)
+class Reach:
+    """Where activation may go: nodes (graph_id, node_id, space_id) in the spaces allowed (graph_id, query_id, space_id; None: all)."""
+
+    nodes: DataFrame
+    allowed: DataFrame | None = None
+
+    def mark(self, rows: DataFrame, node: str) -> DataFrame:
+        """rows with _inside: true for nodes that may be reached, else null."""
+        rows = rows.join(self.nodes.select("graph_id", F.col("node_id").alias(node), F.col("space_id").alias("_space"), F.lit(True).alias("_inside")), ["graph_id", node], "left")
+        if self.allowed is not None:
+            allowed = self.allowed.select("graph_id", "query_id", F.col("space_id").alias("_space"), F.lit(True).alias("_open")).distinct()
+            rows = rows.join(allowed, ["graph_id", "query_id", "_space"], "left").withColumn("_inside", F.col("_inside") & F.col("_open")).drop("_open")
+        return rows.drop("_space")
+
+
 @dataclass(frozen=True)
 class Propagation:
     """How activation travels: what is left after an edge, the least that does, and which edges it may take (None: all)."""
@@ -61,18 +77,19 @@ class Propagation:
         return F.when(F.col("edge_type") == "exception_to", 0.12).otherwise(0.0) + F.col("role_bonus") + graph.contradiction_bonus(F.col("pair"), F.col("in_pair"))
 
 
-def prepare(queries: DataFrame, nodes: DataFrame, edges: DataFrame, dynamic: bool, sims: DataFrame | None = None, anomaly: Column | None = None) -> Prepared:
+def prepare(queries: DataFrame, nodes: DataFrame, edges: DataFrame, dynamic: bool, sims: DataFrame | graph.Similar | None = None, anomaly: Column | None = None) -> Prepared:
     """nodes and edges (each once, with bidirectional) made ready and stored, so that no level makes them again; sims replaces the built-in similarity, anomaly the built-in thresholds."""
     n, e = graph.mark_contradictions(graph.as_nodes(nodes), graph.add_reverse(edges))
-    own = storage.keep(graph.similarities(queries, nodes), "similarities") if sims is None else sims
-    return Prepared(storage.keep(graph.with_features(n, dynamic, anomaly), "features"), storage.keep(e, "edges"), graph.asked(queries), own)
+    n = storage.keep(graph.with_features(n, dynamic, anomaly), "features")
+    return Prepared(n, storage.keep(e, "edges"), graph.asked(queries), graph.similar(queries, n) if sims is None else sims)
 
 
 def _scored(rows: DataFrame, p: Prepared, total: Total, hop: int) -> DataFrame:
     """rows (KEY, node_id, similarity of seeds, pair, ...) with their node's features and total at the hop."""
-    rows = rows.join(p.nodes.select("graph_id", "node_id", *FEATURES), ["graph_id", "node_id"]).join(p.asked.select("graph_id", "query_id", *FLAGS), ["graph_id", "query_id"])
+    rows = met = storage.keep(rows, "level")
+    rows = graph.few(rows).join(p.nodes.select("graph_id", "node_id", *FEATURES), ["graph_id", "node_id"]).join(p.asked.select("graph_id", "query_id", *FLAGS), ["graph_id", "query_id"])
     if hop:
-        rows = rows.join(p.sims.select("graph_id", "query_id", "node_id", F.col("sem").alias("_sem")), ["graph_id", "query_id", "node_id"], "left").withColumn("sem", F.coalesce("_sem", F.lit(0.0))).drop("_sem")
+        rows = rows.join(graph.similarity_of(p.sims, met).select("graph_id", "query_id", "node_id", F.col("sem").alias("_sem")), ["graph_id", "query_id", "node_id"], "left").withColumn("sem", F.coalesce("_sem", F.lit(0.0))).drop("_sem")
     else:
         rows = rows.withColumn("sem", F.col("similarity"))
     return rows.withColumn("total", F.round(total(F.col("sem"), F.lit(float(hop))), 9))
@@ -87,7 +104,7 @@ def walk_all(p: Prepared, seeds: DataFrame, hops: int, total: Total) -> DataFram
 
     KEY, node_id, hop, place (within the hop), total, chain: an array of node_id, score, via, role, prio, reason.
     """
-    level = seeds.select(*KEY, "node_id", "similarity", F.lit(1).cast("long").alias("place"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("prio"), F.lit(False).alias("pair"), F.array().cast("array<struct<node_id: string>>").alias("_none"))
+    level = seeds.select(*KEY, "node_id", "similarity", F.lit(1).cast("long").alias("place"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("prio"), F.lit(False).alias("pair"))
     found, chain = [], None
     for hop in range(hops + 1):
         rows = _scored(level, p, total, hop)
@@ -166,13 +183,13 @@ def _path_trace(p: Prepared, top: DataFrame, states: DataFrame, hops: int) -> Da
     return every.withColumn("step", step).where(F.col("step") <= MOST_TRACED).drop("at")
 
 
-def spread(p: Prepared, seeds: DataFrame, hops: int = 2, total: Total = graph.weighted, policy: Propagation = Propagation(), most: int = 12, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def spread(p: Prepared, seeds: DataFrame, hops: int = 2, total: Total = graph.weighted, policy: Propagation = Propagation(), most: int = 12, scope: DataFrame | Reach | None = None) -> tuple[DataFrame, DataFrame]:
     """Activation from each seed: the last accepted row of every activated node, and the trace.
 
     A row is accepted if it exceeds what its node has had; when ``most`` nodes of a seed are active nothing more is.
     Accepted rows push activation * decay * weight over edges in their ord, dropped under the threshold before and
     after the target's factor, then raised by the bonus; edges to nodes that have pushed aren't looked at.  scope:
-    (graph_id, query_id, node_id) of the nodes that activation may reach, or None for all.
+    (graph_id, query_id, node_id) of the nodes that activation may reach, their spaces (Reach), or None for all.
 
     nodes: KEY, node_id, activation, score, hop, source_id, via, first.  trace: KEY, step, node_id, source_id,
     edge_type, hop, incoming, propagated, activated, stopped_reason, is_seed.
@@ -181,7 +198,9 @@ def spread(p: Prepared, seeds: DataFrame, hops: int = 2, total: Total = graph.we
     by_node = Window.partitionBy(*KEY, "node_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     by_seed = Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     level = seeds.select(*KEY, "node_id", "similarity", F.round(policy.start(F.col("similarity")), 9).alias("activation"), F.lit(None).cast(ident).alias("source_id"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("pair"), F.lit(1).cast("long").alias("place")).where("activation > 0")
-    if scope is not None:
+    if isinstance(scope, Reach):
+        level = scope.mark(level, "node_id").where("_inside").select(*level.columns)
+    elif scope is not None:
         level = level.join(scope, ["graph_id", "query_id", "node_id"], "left_semi")
     lit = lambda v, kind: F.lit(v).cast(kind)
     traced = [level.select(*KEY, F.struct(lit(0, "int").alias("hop"), lit(0, "long").alias("place"), lit(0, "long").alias("e")).alias("at"), "node_id", "source_id", F.col("via").alias("edge_type"), lit(0, "int").alias("hop"), F.col("activation").alias("incoming"), F.col("activation").alias("propagated"), lit(None, "string").alias("stopped_reason"), F.lit(True).alias("is_seed"))]
@@ -209,7 +228,7 @@ def spread(p: Prepared, seeds: DataFrame, hops: int = 2, total: Total = graph.we
         out = out.join(p.nodes.select("graph_id", F.col("node_id").alias("dst"), "factor", "role_bonus", "in_pair"), ["graph_id", "dst"])
         reason, first = F.when(F.lit(False), F.lit("")), F.round(F.col("activation") * policy.decay * F.col("weight"), 9)
         if scope is not None:
-            out = out.join(scope.select("graph_id", "query_id", F.col("node_id").alias("dst"), F.lit(True).alias("_inside")), ["graph_id", "query_id", "dst"], "left")
+            out = scope.mark(out, "dst") if isinstance(scope, Reach) else out.join(scope.select("graph_id", "query_id", F.col("node_id").alias("dst"), F.lit(True).alias("_inside")), ["graph_id", "query_id", "dst"], "left")
             reason = reason.when(F.col("_inside").isNull(), "outside_space_scope")
         if policy.allowed is not None:
             reason = reason.when(~F.col("edge_type").isin(list(policy.allowed)), "disallowed_edge_type")
@@ -333,10 +352,11 @@ def returned_ids(paths: DataFrame, memories: DataFrame) -> DataFrame:
     return rows.groupBy("graph_id", "query_id").agg(F.sort_array(F.collect_set("node_id")).alias("node_ids"))
 
 
-def top_hits(queries: DataFrame, nodes: DataFrame, sims: DataFrame, k: int, by: str) -> Found:
+def top_hits(queries: DataFrame, nodes: DataFrame, sims: DataFrame | graph.Similar, k: int, by: str) -> Found:
     """The two baselines: the k best nodes by overlap (lex) or cosine (cos), each a path of one step; those without a score don't count."""
     label = {"lex": "baseline lexical hit", "cos": "embedding semantic hit"}[by]
-    rows = sims.where(F.col(by) > 0).join(nodes.select("graph_id", "node_id", "ord"), ["graph_id", "node_id"])
+    every = sims.best(k).drop("ord").distinct() if isinstance(sims, graph.Similar) else sims
+    rows = every.where(F.col(by) > 0).join(nodes.select("graph_id", "node_id", "ord"), ["graph_id", "node_id"])
     rank = F.row_number().over(Window.partitionBy("graph_id", "query_id").orderBy(F.desc(by), "ord"))
     hits = rows.withColumn("seed", rank.cast("long")).where(F.col("seed") <= k)
     step = F.array(F.struct("node_id", F.lit(label).alias("reason"), F.col(by).alias("score"), F.lit(None).cast("string").alias("via_edge_type")))
