@@ -8,19 +8,25 @@ text) and, if any are preferred, preferred (an array of space_ids).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.functions import cues, scores, text
-from trailmark.operators import graph, modes, search, state, walk
+from trailmark.operators import graph, modes, overlap, search, state, walk
+from trailmark.operators.overlap import NANO, Best, Block, Reader, as_batches, billionths, column, scored, trim, typed
 from trailmark.sources import storage
 
 Q = ["graph_id", "query_id"]
 PARTS = ["building", "floor", "room", "locus", "name"]
 LEAST_SEED = 0.1
+#: Pairs of a question and a profile of memories that go to workers at most.
+PROFILED = 4_000_000
 FALLBACK = 0.01
 
 
@@ -148,20 +154,32 @@ class Candidates:
     rows: DataFrame
 
 
-def candidates(queries: DataFrame, memories: DataFrame, sims: DataFrame, n: int, dynamic: bool, allowed: DataFrame | None = None, kinds: tuple[str, ...] | None = None) -> Candidates:
+def candidates(queries: DataFrame, memories: DataFrame, sims: DataFrame | graph.Similar, n: int, dynamic: bool, allowed: DataFrame | None = None, kinds: tuple[str, ...] | None = None) -> Candidates:
     """Memories in the allowed spaces (graph_id, query_id, space_id; None: all) that some score may lift.
 
     Without a word in common, a memory's score depends only on its profile (role, tags, phrases, situations) and its
     state.  So questions meet each distinct profile once, and of the memories that share nothing else with a question
-    only the first n of a profile and state can be among the n best; no question meets every memory.
+    only the first n of a profile and state can be among the n best; no question meets every memory.  Where sims are
+    worked out on demand, workers score memories text by text and only the n best of both kinds of seeds are rows.
     """
     n = max(1, n)
     rows = graph.with_encoding(memory_space(graph.as_nodes(memories).where("kind <> 'route'")))
     rows = rows.where(F.col("kind").isin(list(kinds))) if kinds else rows
     own = ["phrases", "situations", "scenario_tags", "symbolic_tags", "role"]
     rows = rows.withColumn("profile", F.xxhash64(*own, F.lit(5))).withColumn("multiplier", scores.recall_multiplier(F.col("state"), F.col("stability")) if dynamic else F.lit(1.0))
-    rows = storage.keep(rows.select("graph_id", "node_id", "ord", F.col("space_id").cast("string").alias("space_id"), "profile", "multiplier", *own), "seed-memories")
+    rows = storage.keep(rows.select("graph_id", "node_id", "ord", F.col("space_id").cast("string").alias("space_id"), "profile", "multiplier", "content", *own), "seed-memories")
     profiles = rows.select("graph_id", "profile", *own).dropDuplicates(["graph_id", "profile"])
+    asked = queries.select(*Q, "text", F.array_distinct(text.tokens(F.col("text"))).alias("words"), text.scenario_tags(F.col("text")).alias("q_scen"), text.symbolic_tags(F.col("text"), F.lit("")).alias("q_symb"))
+    c = F.col
+    called = lambda pairs: pairs.select(*Q, "profile", cues.trigger_score(c("text"), c("words"), c("phrases"), c("situations"), c("scenario_tags"), c("symbolic_tags")).alias("trigger"), cues.intent_score(c("text"), c("q_scen"), c("q_symb"), c("scenario_tags"), c("symbolic_tags"), c("role")).alias("intent"))
+    if isinstance(sims, graph.Similar):
+        # few rows, but much work on each: spread over all cores
+        spread = storage.keep(profiles, "profiles").repartition(rows.sparkSession.sparkContext.defaultParallelism)
+        each = storage.keep(called(spread.join(asked, "graph_id")), "profiled")
+        if each.count() <= PROFILED and overlap.repeated(rows, ["graph_id", "node_id"]) is None:
+            return Candidates(storage.keep(_scored_seeds(queries, rows, each, n, allowed), "seed-candidates"))
+        sims = storage.keep(graph.similarities(queries, memories), "similarities")
+    rows = rows.drop("content")
     first = Window.partitionBy("graph_id", "space_id", "profile", "multiplier").orderBy("ord")
     few = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).select("graph_id", "node_id", "ord", "space_id", "profile", "multiplier")
     scope = queries.select(*Q) if allowed is None else allowed.select(*Q, "space_id").distinct()
@@ -170,13 +188,69 @@ def candidates(queries: DataFrame, memories: DataFrame, sims: DataFrame, n: int,
     met = rows.drop(*own).join(sims.select(*Q, "node_id", "cos", "lex"), ["graph_id", "node_id"])
     met = met if allowed is None else met.join(scope, [*Q, "space_id"], "left_semi")
     pairs = met.select(*alone.columns).unionByName(alone).groupBy(*Q, "node_id", "ord", "space_id", "profile", "multiplier").agg(F.max("cos").alias("cos"), F.max("lex").alias("lex"))
-    asked = queries.select(*Q, "text", F.array_distinct(text.tokens(F.col("text"))).alias("words"), text.scenario_tags(F.col("text")).alias("q_scen"), text.symbolic_tags(F.col("text"), F.lit("")).alias("q_symb"))
-    each = pairs.select(*Q, "profile").distinct().join(profiles, ["graph_id", "profile"]).join(asked, Q)
-    c = F.col
-    each = each.select(*Q, "profile", cues.trigger_score(c("text"), c("words"), c("phrases"), c("situations"), c("scenario_tags"), c("symbolic_tags")).alias("trigger"), cues.intent_score(c("text"), c("q_scen"), c("q_symb"), c("scenario_tags"), c("symbolic_tags"), c("role")).alias("intent"))
+    each = called(pairs.select(*Q, "profile").distinct().join(profiles, ["graph_id", "profile"]).join(asked, Q))
     return Candidates(storage.keep(pairs.join(each, [*Q, "profile"]), "seed-candidates"))
 
 
+def _scored_seeds(queries: DataFrame, rows: DataFrame, each: DataFrame, n: int, allowed: DataFrame | None) -> DataFrame:
+    """Of the memories (rows) the n best of each question by both kinds of seed scores, as select_seeds() ranks them; each: trigger and intent of a question and a profile."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    carry = [(c, kinds[c]) for c in ("node_id", "ord", "space_id", "profile", "multiplier")] + [(c, T.DoubleType()) for c in ("cos", "lex", "trigger", "intent")]
+    schema, arrow = typed([("graph_id", kinds["graph_id"]), ("query_id", queries.schema["query_id"].dataType), *carry])
+    texts = rows.select("graph_id", "node_id", "ord", "space_id", "profile", "multiplier", overlap.lowered("content").alias("low"))
+    told = each.toArrow()
+    triggers, intents = (told.column(c).to_numpy() for c in ("trigger", "intent"))
+    profile, which = np.unique(told.column("profile").to_numpy(), return_inverse=True)
+    pair_of: dict = {}
+    for i, pair in enumerate(zip(told.column("graph_id").to_pylist(), told.column("query_id").to_pylist())):
+        pair_of.setdefault(pair, []).append(i)
+    spaces = None if allowed is None else sorted({tuple(r) for r in allowed.select(*Q, "space_id").collect() if r[2] is not None}, key=repr)
+
+    def of(block: Block) -> DataFrame:
+        trigger, intent = np.zeros((2, len(profile), len(block.rows)))
+        for j, (g, q, _) in enumerate(block.rows):
+            at = pair_of.get((g, q), [])
+            trigger[which[at], j], intent[which[at], j] = triggers[at], intents[at]
+        place = {(g, q): j for j, (g, q, _) in enumerate(block.rows)}
+        opened = None if spaces is None else [(place[g, q], s) for g, q, s in spaces if (g, q) in place]
+
+        def search_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader, best = Reader(block), [Best(len(block.rows), n) for _ in range(2)]
+            names = {} if opened is None else {s: i for i, s in enumerate(dict.fromkeys(s for _, s in opened))}
+            open_ = np.zeros((len(names) + 1, len(block.rows)), bool)
+            for j, s in opened or []:
+                open_[names[s], j] = True
+            for s in scored(reader, batches):
+                take = pa.array(s.rows)
+                kind = np.searchsorted(profile, column(s.piece, "profile").take(take).to_numpy(zero_copy_only=False))
+                factor = column(s.piece, "multiplier").take(take).to_numpy(zero_copy_only=False)[:, None]
+                t, i = trigger[kind][:, s.asked], intent[kind][:, s.asked]
+                cos, lex = s.cos / NANO, s.lex / NANO
+                inside = True
+                if opened is not None:
+                    inside = open_[[names.get(x, len(names)) for x in column(s.piece, "space_id").take(take).to_pylist()]][:, s.asked]
+                values = [column(s.piece, c) for c, _ in carry[:5]]
+                carried = lambda r, j: (*[v[int(s.rows[r])].as_py() for v in values], float(cos[r, j]), float(lex[r, j]), float(t[r, j]), float(i[r, j]))  # noqa: B023, E731
+                # as cues.seed_score() has it, embedding and lexical
+                for b, base, of_trigger, of_intent in ((best[0], cos, 0.2, 0.25), (best[1], lex, 0.35, 0.3)):
+                    score = billionths(np.minimum(1.0, np.minimum(1.0, base + of_trigger * t + of_intent * i) * factor))
+                    b.add(s, score, inside & (score >= LEAST_SEED * NANO), carried)
+            for b in best:
+                for (g, q, _), found in zip(block.rows, b.found):
+                    yield from as_batches([(g, q, *e[2]) for e in found], arrow)
+            trim()
+
+        return texts.mapInArrow(search_seeds, schema)
+
+    every = overlap.blocks(queries)
+    if not every:
+        return rows.sparkSession.createDataFrame([], schema)
+    out = of(every[0])
+    for block in every[1:]:
+        out = out.unionByName(of(block))
+    return out.distinct()
+
+
 def _best_seeds(rows: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*Q).orderBy(F.desc("score"), "ord"))
     return rows.where(F.col("score") >= LEAST_SEED).withColumn("seed", rank.cast("long")).where(F.col("seed") <= max(1, n))
@@ -212,7 +286,7 @@ class Activated:
     snapshot: DataFrame
 
 
-def activate(queries: DataFrame, memories: DataFrame, links: DataFrame, sims: DataFrame, seeds: DataFrame, allowed: DataFrame | None, policy: Policy, most: int = 12) -> Activated:
+def activate(queries: DataFrame, memories: DataFrame, links: DataFrame, sims: DataFrame | graph.Similar, seeds: DataFrame, allowed: DataFrame | None, policy: Policy, most: int = 12) -> Activated:
     """What the seeds activate inside the allowed spaces; route memories take no part.
 
     memories: query_id, node_id, score, reason, retrieval_role, the top_k best; routes: one per seed, the top_k best;
@@ -222,8 +296,7 @@ def activate(queries: DataFrame, memories: DataFrame, links: DataFrame, sims: Da
     total = graph.structure_only if policy.mode == "structure_only" else graph.weighted_unpaired
     p = search.prepare(queries, memories, links, dynamic, sims)
     reach = graph.as_nodes(memories).where("kind <> 'route'").select("graph_id", "node_id", F.col("space_id").cast("string").alias("space_id"))
-    reach = reach.join(queries.select(*Q), "graph_id") if allowed is None else reach.join(allowed.select(*Q, "space_id").distinct(), ["graph_id", "space_id"])
-    scope = storage.keep(reach.select(*Q, "node_id"), "scope")
+    scope = search.Reach(storage.keep(reach.distinct(), "reach"), None if allowed is None else allowed.select(*Q, "space_id"))
     start = seeds.select(*search.KEY, "node_id", F.col("score").alias("similarity"))
     active, trace = search.spread(p, start, policy.max_hops, total, propagation(policy.mode), most, scope)
     active = storage.keep(active, "activated")
@@ -256,6 +329,39 @@ def route_steps(memories: DataFrame) -> DataFrame:
     return rows.where(F.size("steps") > 0)
 
 
+def _best_routes(queries: DataFrame, said: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+    """(graph_id, query_id, _row, lex): of the routes (graph_id, _row, route_kind, ord, content) the k best of each question by words and kind."""
+    asked_kind = {(r[0], r[1]): r[2] for r in kinds.select(*Q, "asked").collect()}
+    schema, arrow = typed([("graph_id", said.schema["graph_id"].dataType), ("query_id", queries.schema["query_id"].dataType), ("_row", T.LongType()), ("lex", T.DoubleType())])
+    texts = said.select("graph_id", "_row", "route_kind", "ord", overlap.lowered("content").alias("low"))
+
+    def of(block: Block) -> DataFrame:
+        wanted = [asked_kind.get((g, q)) for g, q, _ in block.rows]
+
+        def search_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader, best = Reader(block), Best(len(block.rows), k)
+            want = np.array([w or "" for w in wanted], object)
+            for s in scored(reader, batches):
+                kind = np.array(column(s.piece, "route_kind").take(pa.array(s.rows)).to_pylist(), object)
+                bonus = np.where((kind[:, None] == want[s.asked][None, :]) & (want[s.asked] != "")[None, :], 0.2, 0.0)
+                lex, row = s.lex / NANO, column(s.piece, "_row")
+                score = billionths(np.minimum(1.0, 0.35 * lex + bonus))
+                best.add(s, score, score > 0, lambda i, j: (row[int(s.rows[i])].as_py(), float(lex[i, j])))  # noqa: B023
+            for (g, q, _), found in zip(block.rows, best.found):
+                yield from as_batches([(g, q, *e[2]) for e in found], arrow)
+            trim()
+
+        return texts.mapInArrow(search_routes, schema)
+
+    every = overlap.blocks(queries)
+    if not every:
+        return said.sparkSession.createDataFrame([], schema)
+    out = of(every[0])
+    for block in every[1:]:
+        out = out.unionByName(of(block))
+    return out
+
+
 def plan_routes(queries: DataFrame, memories: DataFrame, links: DataFrame, seeds: DataFrame, policy: Policy) -> DataFrame:
     """(graph_id, query_id, route_id, route_kind, route_source, steps, score, explanation, place): the top_k stored routes.
 
@@ -269,19 +375,23 @@ def plan_routes(queries: DataFrame, memories: DataFrame, links: DataFrame, seeds
     at = routes.select("graph_id", "_row", F.explode(F.array_distinct("steps")).alias("node_id"))
     size = at.groupBy("graph_id", "_row").agg(F.count(F.lit(1)).alias("n_set"))
     hits = at.join(seeds.select(*Q, "node_id").distinct(), ["graph_id", "node_id"]).groupBy(*Q, "_row").agg(F.count(F.lit(1)).alias("hits"))
-    words = at.join(memories.select("graph_id", "node_id", "content"), ["graph_id", "node_id"]).select("graph_id", "_row", F.explode(text.tokens(F.col("content"))).alias("token")).distinct()
-    lex = words.join(_words(queries), ["graph_id", "token"]).groupBy(*Q, "_row", "n").agg(F.count(F.lit(1)).alias("c")).select(*Q, "_row", F.round(F.col("c") / F.col("n"), 9).alias("lex"))
-    # routes that only their kind speaks for: the longest, then the first, are all that can be among the k best
-    by_kind = routes.withColumn("_r", F.row_number().over(Window.partitionBy("graph_id", "route_kind").orderBy(F.desc(F.size("steps")), "ord"))).where(F.col("_r") <= k)
-    alone = by_kind.select("graph_id", "_row", F.col("route_kind").alias("asked")).join(kinds, ["graph_id", "asked"]).select(*Q, "_row")
-    rows = lex.join(hits, [*Q, "_row"], "full_outer").select(*Q, "_row", "lex", "hits").unionByName(alone.select(*Q, "_row", F.lit(None).cast("double").alias("lex"), F.lit(None).cast("long").alias("hits")))
-    rows = rows.groupBy(*Q, "_row").agg(F.coalesce(F.max("lex"), F.lit(0.0)).alias("lex"), F.coalesce(F.max("hits"), F.lit(0)).alias("hits")).join(routes, ["graph_id", "_row"]).join(size, ["graph_id", "_row"]).join(kinds, Q)
+    hits = storage.keep(hits, "route-hits")
+    walk = storage.keep(greedy_route(queries, links, seeds, policy.max_hops), "walked")
+    said = at.join(memories.select("graph_id", "node_id", "content"), ["graph_id", "node_id"], "left").groupBy("graph_id", "_row").agg(F.array_join(F.collect_list("content"), "\n").alias("content"))
+    place = F.array(-F.size("steps").cast("long"), F.coalesce(F.col("ord").cast("long"), F.lit(-(1 << 63)))).alias("ord")
+    said = storage.keep(routes.select("graph_id", "_row", "route_kind", place).join(said, ["graph_id", "_row"]), "route-texts")
+    # a route without seeds scores by its words and kind: of those the k best; all with seeds, and all that equal the walk, as it stands aside then
+    needed = hits.select(*Q, "_row").unionByName(walk.join(routes.select("graph_id", "_row", "steps"), ["graph_id", "steps"]).select(*Q, "_row"))
+    needed = storage.keep(needed.distinct(), "route-pairs")
+    stated = overlap.of_pairs(queries, graph.few(needed).join(said, ["graph_id", "_row"]).select(*Q, F.col("_row").alias("node_id"), "content"))
+    rows = _best_routes(queries, said, kinds, k).unionByName(stated.select(*Q, F.col("node_id").alias("_row"), "lex"))
+    rows = storage.keep(rows.groupBy(*Q, "_row").agg(F.max("lex").alias("lex")).join(hits, [*Q, "_row"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))), "route-candidates")
+    rows = graph.few(rows).join(routes, ["graph_id", "_row"]).join(size, ["graph_id", "_row"]).join(kinds, Q)
     bonus = F.coalesce(cues.kind_bonus(F.col("route_kind"), F.col("asked")), F.lit(0.0))
     score = F.round(F.least(F.lit(1.0), 0.5 * F.col("hits") / F.col("n_set") + 0.35 * F.col("lex") + F.when(F.col("hits") > 0, 0.1).otherwise(0.0) + bonus), 9)
     parts = F.array_compact(F.array(F.when(F.col("hits") > 0, F.lit("matches current seeds")), F.when(F.col("lex") > 0, F.lit("matches query content")), F.when(bonus > 0, F.lit("matches query route intent"))))
     stored = rows.select(*Q, "route_id", "route_kind", F.lit("route_memory").alias("route_source"), "steps", score.alias("score"), F.array_join(parts, ", ").alias("explanation"), "ord").where("score > 0")
     stored = storage.keep(stored, "planned")
-    walk = greedy_route(queries, links, seeds, policy.max_hops)
     beside = stored.select(*Q).distinct().withColumn("_some", F.lit(True))
     equal = stored.select(*Q, "steps").distinct().withColumn("_same", F.lit(True))
     walk = walk.join(beside, Q, "left").join(equal, [*Q, "steps"], "left").where("_some is null or (size(steps) > 1 and _same is null)")
@@ -314,14 +424,16 @@ def merge_routes(planned: DataFrame, activated: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= max(1, k)).select(*columns, "priority", "place")
 
 
-def rank_fusion(memories: DataFrame, sims: DataFrame, seeds: DataFrame, activated: DataFrame, routes: DataFrame, k: int, dynamic: bool) -> tuple[DataFrame, DataFrame]:
+def rank_fusion(memories: DataFrame, sims: DataFrame | graph.Similar, seeds: DataFrame, activated: DataFrame, routes: DataFrame, k: int, dynamic: bool) -> tuple[DataFrame, DataFrame]:
     """The k best memories of seeds, activated ones and steps of routes, and the routes ranked by score and alignment.
 
     Scores gain 0.35 (routes 0.25) of the alignment: the larger of cosine and overlap, for routes that of their best
     step.  Seeds and steps are first weighed by the state of the memory; a step has its route's score over its place.
     """
     own = graph.as_nodes(memories).select("graph_id", "node_id", (scores.recall_multiplier(F.col("state"), F.col("stability")) if dynamic else F.lit(1.0)).alias("multiplier"), F.lit(True).alias("known"))
-    align = sims.select(*Q, "node_id", F.col("sem").alias("alignment"))
+    pairs = seeds.select(*Q, "node_id").unionByName(activated.select(*Q, "node_id")).unionByName(routes.select(*Q, F.explode("steps").alias("node_id")))
+    align = graph.similarity_of(sims, pairs).select(*Q, "node_id", F.col("sem").alias("alignment"))
+    align = storage.keep(align, "alignments") if isinstance(sims, graph.Similar) else align
 
     def aligned(rows: DataFrame, base: Column) -> DataFrame:
         rows = rows.join(own, ["graph_id", "node_id"], "left").join(align, [*Q, "node_id"], "left").withColumn("alignment", F.coalesce("alignment", F.lit(0.0)))
@@ -369,14 +481,14 @@ def reinforce(memories: DataFrame, recalled: DataFrame) -> DataFrame:
     return modes.after_search(memories, recalled, modes.StatePolicy(True, state.reinforce, state.decay))
 
 
-def recall(queries: DataFrame, memories: DataFrame, spaces: DataFrame, links: DataFrame, policy: Policy = Policy(), sims: DataFrame | None = None, steps: Steps = Steps()) -> Recalled:
+def recall(queries: DataFrame, memories: DataFrame, spaces: DataFrame, links: DataFrame, policy: Policy = Policy(), sims: DataFrame | graph.Similar | None = None, steps: Steps = Steps()) -> Recalled:
     """Spaces, seeds, activation, routes, merging and ranking for all questions; questions that recall nothing fall back to a search of the whole graph, if the policy allows it.
 
     A recall leaves the memories as they are; reinforce() makes what it recalled stronger.
     """
     dynamic = policy.mode not in STATIC_MODES
     memories = storage.keep(graph.as_nodes(memories), "memories")
-    sims = storage.keep(graph.similarities(queries, memories), "similarities") if sims is None else sims
+    sims = graph.similar(queries, memories) if sims is None else sims
     allowed = storage.keep(steps.spaces(queries, spaces, memories, policy.max_spaces), "spaces")
     scope = None if spaces.isEmpty() else allowed
     found = candidates(queries, memories, sims, max(4 * policy.max_seeds, 16), dynamic, scope, policy.kinds)

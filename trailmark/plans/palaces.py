@@ -61,7 +61,7 @@ def palace_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q, m = _questions(spark, sf_dir), storage.keep(_memories(spark, sf_dir), "memories")
-    sims = storage.keep(graph.similarities(q, m), "similarities")
+    sims = graph.similar(q, m)
     allowed = storage.keep(palace.hybrid_spaces(q, _spaces(spark), m, N_SPACES), "spaces")
     return q, m, palace.hybrid_seeds(palace.candidates(q, m, sims, max(4 * N_SEEDS, 16), True, allowed), N_SEEDS)
 
